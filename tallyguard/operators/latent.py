@@ -81,17 +81,17 @@ def fit_pca(
     return Projection(mean, components, ratios, choose_components(ratios, n, width, threshold, n_components))
 
 
-def _matrix(series: pd.Series) -> np.ndarray:
-    return np.stack(series.to_numpy()).astype("float64") if len(series) else np.empty((0, 0))
-
-
 def project(values: Column, projection: Projection) -> Column:
     """(x - mean) times the first k components, for an array<double> column."""
     mean, loadings = projection.mean, projection.components[:, : projection.k]
 
+    # Self-contained, so executors need not have this package installed.
     @F.pandas_udf("array<double>")
     def apply(batch: pd.Series) -> pd.Series:
-        return pd.Series(list((_matrix(batch) - mean) @ loadings)) if len(batch) else batch
+        if not len(batch):
+            return batch
+        x = np.stack(batch.to_numpy()).astype("float64")
+        return pd.Series(list((x - mean) @ loadings))
 
     return apply(values)
 
@@ -140,7 +140,7 @@ def centroid_distances(values: Column, centroids: Sequence[Sequence[float]]) ->
     def apply(batch: pd.Series) -> pd.Series:
         if not len(batch):
             return batch
-        x = _matrix(batch)
+        x = np.stack(batch.to_numpy()).astype("float64")
         # One centroid at a time keeps the working set at rows x d.
         columns = [np.sqrt(((x - c) ** 2).sum(axis=1)) for c in centres]
         return pd.Series(list(np.column_stack(columns)))

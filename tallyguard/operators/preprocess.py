@@ -6,7 +6,7 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,6 +56,13 @@ def column_kinds(df: DataFrame, excluded: Sequence[str]) -> tuple[list[str], lis
     return numeric, categorical
 
 
+def metadata_columns(df: DataFrame, names: Sequence[str]) -> list[Column]:
+    """The named columns; one that the table does not have comes back as null."""
+    return [
+        F.col(c) if c in df.columns else F.lit(None).cast("double").alias(c) for c in names
+    ]
+
+
 def fit_features(
     train: DataFrame,
     target: str = "isFraud",
@@ -153,12 +160,9 @@ def transform_features(df: DataFrame, state: FeatureState) -> DataFrame:
             keyed = rows.withColumn(f"_key_{c}", _category(c))
             hot = _hot_categories(state, c)
             rows = salted_left_join(keyed, dictionary, f"_key_{c}", [state.row_id], hot)
-    kept = [c for c in (state.row_id, state.time, state.entity, state.target, "split") if c in df.columns]
-    absent = [
-        F.lit(None).cast("double").alias(c)
-        for c in (state.row_id, state.time, state.entity, state.target)
-        if c not in df.columns
-    ]
+    meta = metadata_columns(df, [state.row_id, state.time, state.entity, state.target])
+    if "split" in df.columns:
+        meta.append(F.col("split"))
     scaled = [
         (
             (F.coalesce(F.col(c).cast("double"), F.lit(state.medians[c])) - F.lit(state.means[c]))
@@ -174,7 +178,7 @@ def transform_features(df: DataFrame, state: FeatureState) -> DataFrame:
             known = F.array(*[F.lit(v) for v in state.inline[c]]).cast("array<string>")
             position = F.array_position(known, _category(c))
         coded.append((position / F.lit(float(state.category_counts[c] + 1))).alias(f"cat_{c}"))
-    return rows.select(*kept, *absent, *scaled, *coded)
+    return rows.select(*meta, *scaled, *coded)
 
 
 def _hot_categories(state: FeatureState, column: str) -> list:
