@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tallyguard.models.weights import with_weight
 from tallyguard.operators.metrics import ranking_metrics
+from tallyguard.session import partition_target
 
 INTERNAL = ("rawPrediction", "probability", "prediction")
 
@@ -46,6 +47,16 @@ def _positive(model: Model, df: DataFrame, features: str) -> DataFrame:
     )
 
 
+def spread_rows(df: DataFrame, row_id: str = "TransactionID") -> DataFrame:
+    """Rows dealt evenly over the cluster by a unique id, before training passes over them.
+
+    Iterative training repeats its pass many times, so one shuffle that fills every core pays.
+    """
+    spark = df.sparkSession
+    pieces = max(spark.sparkContext.defaultParallelism, partition_target(spark))
+    return df.repartition(pieces, row_id)
+
+
 class NotFitted(RuntimeError):
     pass
 

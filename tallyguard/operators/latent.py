@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -82,16 +82,16 @@ def fit_pca(
 
 
 def project(values: Column, projection: Projection) -> Column:
-    """(x - mean) times the first k components, for an array<double> column."""
+    """(x - mean) times the first k components, for an array<double> column without nulls."""
     mean, loadings = projection.mean, projection.components[:, : projection.k]
 
     # Self-contained, so executors need not have this package installed.
-    @F.pandas_udf("array<double>")
-    def apply(batch: pd.Series) -> pd.Series:
-        if not len(batch):
-            return batch
-        x = np.stack(batch.to_numpy()).astype("float64")
-        return pd.Series(list((x - mean) @ loadings))
+    @F.arrow_udf("array<double>")
+    def apply(batch: pa.Array) -> pa.Array:
+        x = batch.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), len(mean))
+        y = (x - mean) @ loadings
+        ends = pa.array(np.arange(len(batch) + 1) * y.shape[1], pa.int32())
+        return pa.ListArray.from_arrays(ends, pa.array(y.ravel()))
 
     return apply(values)
 
@@ -136,14 +136,13 @@ def centroid_distances(values: Column, centroids: Sequence[Sequence[float]]) ->
     """
     centres = np.asarray(centroids, dtype="float64")
 
-    @F.pandas_udf("array<double>")
-    def apply(batch: pd.Series) -> pd.Series:
-        if not len(batch):
-            return batch
-        x = np.stack(batch.to_numpy()).astype("float64")
+    @F.arrow_udf("array<double>")
+    def apply(batch: pa.Array) -> pa.Array:
+        x = batch.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), centres.shape[1])
         # One centroid at a time keeps the working set at rows x d.
-        columns = [np.sqrt(((x - c) ** 2).sum(axis=1)) for c in centres]
-        return pd.Series(list(np.column_stack(columns)))
+        y = np.column_stack([np.sqrt(((x - c) ** 2).sum(axis=1)) for c in centres])
+        ends = pa.array(np.arange(len(batch) + 1) * len(centres), pa.int32())
+        return pa.ListArray.from_arrays(ends, pa.array(y.ravel()))
 
     return apply(values)
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyguard.functions.expressions import loss_column, predicted, sigmoid
-from tallyguard.operators.ordering import quantile_edges, running_totals
+from tallyguard.operators.ordering import many_value_edges, running_totals
 from tallyguard.session import partition_target
 
 # Default costs and sweep grids in hundredths.
@@ -36,7 +36,7 @@ def ranked_scores(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> Data
     ``cum_pos`` and ``cum_n`` count rows with a score at least this high.
     """
     pieces = partition_target(df.sparkSession)
-    edges = quantile_edges(df, p, pieces)
+    edges = many_value_edges(df, p, pieces)
     return running_totals(score_counts(df, y, p, by), "p", ["pos", "n"], by, True, edges)
 
 
@@ -110,7 +110,6 @@ def threshold_sweep(
     p: str,
     by: Sequence[str] = (),
     grid: tuple[int, int] = SEARCH_GRID,
-    counts: DataFrame | None = None,
 ) -> DataFrame:
     """tp, fp, tn, fn at every threshold of a grid in hundredths, in one pass over the data.
 
@@ -118,7 +117,7 @@ def threshold_sweep(
     cells per group remain, and the counts at a threshold are sums over the cells above it.
     """
     low, high = grid
-    scores = score_counts(df, y, p, by) if counts is None else counts
+    scores = df.select(*by, F.col(p).cast("double").alias("p"), F.col(y).cast("long").alias("y"))
     guess = F.least(F.greatest(F.floor(F.col("p") * 100), F.lit(low - 1)), F.lit(high))
     # floor can miss by one in the last bit; compare with the thresholds themselves.
     cell = (
@@ -127,7 +126,9 @@ def threshold_sweep(
         .otherwise(guess)
         .cast("int")
     )
-    cells = scores.groupBy(*by, cell.alias("cell")).agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+    cells = scores.groupBy(*by, cell.alias("cell")).agg(
+        F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n")
+    )
     packed = cells.groupBy(*by).agg(
         F.collect_list(F.struct("cell", "pos", "n")).alias("cells"),
         F.coalesce(F.sum("pos"), F.lit(0)).alias("all_pos"),
@@ -162,7 +163,6 @@ def best_threshold(
     criterion: str = "f1",
     fn_cost: float = SEARCH_COSTS[0],
     fp_cost: float = SEARCH_COSTS[1],
-    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Threshold with the highest F1 or the lowest cost; the lowest threshold wins ties.
 
@@ -170,20 +170,21 @@ def best_threshold(
     """
     if criterion not in ("f1", "cost"):
         raise ValueError(f"unknown criterion {criterion}")
-    swept = threshold_sweep(df, y, p, by, SEARCH_GRID, counts)
+    swept = threshold_sweep(df, y, p, by, SEARCH_GRID)
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     value = _f1(tp, fp, fn) if criterion == "f1" else fn * F.lit(fn_cost) + fp * F.lit(fp_cost)
     valued = swept.withColumn("value", value)
     best = F.min(F.struct((-F.col("value") if criterion == "f1" else F.col("value")).alias("v"), "step"))
     one_class = F.coalesce((F.max(tp + fn) == 0) | (F.max(fp + F.col("tn")) == 0), F.lit(True))
+    half = F.max(F.when(F.col("step") == 50, F.col("value")))
     chosen = valued.groupBy(*by).agg(
-        F.when(one_class, 50).otherwise(best["step"]).alias("_step"),
-        F.collect_list(F.struct("step", "value")).alias("_all"),
+        one_class.alias("_one"), best.alias("_best"), half.alias("_half")
     )
+    found = F.col("_best.v") if criterion == "cost" else -F.col("_best.v")
     return chosen.select(
         *by,
-        (F.col("_step") / F.lit(100.0)).alias("threshold"),
-        F.element_at(F.filter("_all", lambda s: s["step"] == F.col("_step")), 1)["value"].alias("score"),
+        (F.when(F.col("_one"), 50).otherwise(F.col("_best.step")) / F.lit(100.0)).alias("threshold"),
+        F.when(F.col("_one"), F.col("_half")).otherwise(found).alias("score"),
     )
 
 

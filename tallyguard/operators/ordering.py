@@ -21,6 +21,19 @@ GATHER_ROWS = 20_000
 SKETCH_ACCURACY = 10_000
 
 
+@dataclass(frozen=True)
+class Rank:
+    """The value at a rank, with the number of values below it and equal to it.
+
+    ``carried`` is the carried value of the row at the rank, where it was read off directly.
+    """
+
+    value: object
+    below: int
+    equal: int
+    carried: object = None
+
+
 @dataclass
 class _Range:
     """An open value range known to hold the wanted rank, with exact counts around it."""
@@ -32,14 +45,14 @@ class _Range:
     below: int
     inside: int
 
-    def values(self) -> Column:
+    def holds(self) -> Column:
         col = F.col(self.column)
         keep = col.isNotNull()
         if self.low is not None:
             keep = keep & (col > F.lit(self.low))
         if self.high is not None:
             keep = keep & (col < F.lit(self.high))
-        return F.when(keep, col)
+        return keep
 
 
 def _scan(df: DataFrame, expressions: list[Column]) -> list:
@@ -48,18 +61,33 @@ def _scan(df: DataFrame, expressions: list[Column]) -> list:
     return list(df.agg(*named).first())
 
 
+def sketch_around(value: Column, share: float) -> Column:
+    """Two values that enclose the given share of the column, up to the sketch error."""
+    margin = 2.0 / SKETCH_ACCURACY
+    around = [max(0.0, share - margin), min(1.0, share + margin)]
+    return F.percentile_approx(value, around, SKETCH_ACCURACY)
+
+
 def order_statistics(
-    df: DataFrame, ranks: Mapping[str, Sequence[int]], gather_rows: int = GATHER_ROWS
-) -> dict[str, dict[int, object]]:
+    df: DataFrame,
+    ranks: Mapping[str, Sequence[int]],
+    totals: Mapping[str, int] | None = None,
+    carry: str | None = None,
+    guesses: Mapping[tuple[str, int], Sequence] | None = None,
+    gather_rows: int = GATHER_ROWS,
+) -> dict[str, dict[int, Rank]]:
     """Exact values at zero-based ascending ``ranks`` among the non-null values of each column.
 
     Each round narrows every open range with a quantile sketch and then counts exactly, so no
     row is shuffled or sorted. A range with at most ``gather_rows`` values is finished directly.
     One round cuts a range to about 1/2500 of its rows.
+
+    ``totals`` and ``guesses`` (two enclosing values per rank) save the first count and sketch.
+    Rows with equal values are ranked by ``carry``.
     """
-    found: dict[str, dict[int, object]] = {column: {} for column in ranks}
-    columns = list(ranks)
-    totals = dict(zip(columns, _scan(df, [F.count(F.col(c)) for c in columns])))
+    found: dict[str, dict[int, Rank]] = {column: {} for column in ranks}
+    if totals is None:
+        totals = dict(zip(ranks, _scan(df, [F.count(F.col(c)) for c in ranks])))
     open_ranges = []
     for column, wanted in ranks.items():
         for rank in dict.fromkeys(wanted):
@@ -68,56 +96,95 @@ def order_statistics(
             open_ranges.append(_Range(column, rank, None, None, 0, totals[column]))
 
     while open_ranges:
-        small = [r for r in open_ranges if r.inside <= gather_rows]
-        if small:
-            gathered = _scan(
-                df,
-                [
-                    F.element_at(F.sort_array(F.collect_list(r.values())), r.rank - r.below + 1)
-                    for r in small
-                ],
-            )
-            for r, value in zip(small, gathered):
-                found[r.column][r.rank] = value
-        open_ranges = _narrow(df, [r for r in open_ranges if r.inside > gather_rows], found)
+        _finish(df, [r for r in open_ranges if r.inside <= gather_rows], carry, found)
+        open_ranges = _narrow(df, [r for r in open_ranges if r.inside > gather_rows], guesses, found)
+        guesses = None
     return found
 
 
-def _narrow(df: DataFrame, ranges: list[_Range], found: dict) -> list[_Range]:
+def _finish(df: DataFrame, ranges: list[_Range], carry: str | None, found: dict) -> None:
+    """Read the rank off the sorted values of a small range."""
     if not ranges:
-        return []
-    margin = 2.0 / SKETCH_ACCURACY
-    guesses = []
-    for r in ranges:
-        at = (r.rank - r.below) / r.inside
-        guesses.append(
-            F.percentile_approx(
-                r.values(), [max(0.0, at - margin), min(1.0, at + margin)], SKETCH_ACCURACY
+        return
+    carried = F.col(carry) if carry else F.lit(None).cast("int")
+    # Neighbouring ranks usually share a range, which is gathered once.
+    lists = {(r.column, r.low, r.high): r for r in ranges}
+    slots = {key: f"s{i}" for i, key in enumerate(lists)}
+    gathered = df.agg(
+        *[
+            F.sort_array(
+                F.collect_list(
+                    F.when(r.holds(), F.struct(F.col(r.column).alias("v"), carried.alias("c")))
+                )
+            ).alias(slots[key])
+            for key, r in lists.items()
+        ]
+    )
+    where = [slots[(r.column, r.low, r.high)] for r in ranges]
+    at = gathered.select(
+        "*",
+        *[F.element_at(s, r.rank - r.below + 1).alias(f"at{i}") for i, (r, s) in enumerate(zip(ranges, where))],
+    )
+    picked = at.select(
+        *[
+            F.struct(
+                F.col(f"at{i}.v").alias("value"),
+                _matching(s, f"at{i}", below=True).alias("below"),
+                _matching(s, f"at{i}", below=False).alias("equal"),
+                F.col(f"at{i}.c").alias("carried"),
             )
+            for i, s in enumerate(where)
+        ]
+    ).first()
+    for r, p in zip(ranges, picked):
+        found[r.column][r.rank] = Rank(p["value"], r.below + p["below"], p["equal"], p["carried"])
+
+
+def _matching(pairs: str, at: str, below: bool) -> Column:
+    wanted = F.col(f"{at}.v")
+    return F.size(F.filter(pairs, lambda p: p["v"] < wanted if below else p["v"] == wanted))
+
+
+def _narrow(
+    df: DataFrame, ranges: list[_Range], guesses: Mapping | None, found: dict
+) -> list[_Range]:
+    if not ranges:
+        return []
+    if guesses:
+        edges = [guesses[(r.column, r.rank)] for r in ranges]
+    else:
+        edges = _scan(
+            df,
+            [
+                sketch_around(F.when(r.holds(), F.col(r.column)), (r.rank - r.below) / r.inside)
+                for r in ranges
+            ],
         )
-    edges = _scan(df, guesses)
-    counts = []
-    for r, (lo, hi) in zip(ranges, edges):
-        col = F.col(r.column)
-        counts += [F.count_if(col < F.lit(lo)), F.count_if(col <= F.lit(lo))]
-        counts += [F.count_if(col < F.lit(hi)), F.count_if(col <= F.lit(hi))]
+    # Neighbouring ranks usually share their edges, which are counted once.
+    marks = list(dict.fromkeys((r.column, e) for r, pair in zip(ranges, edges) for e in pair))
+    counts = [
+        F.count_if(test)
+        for column, e in marks
+        for test in (F.col(column) < F.lit(e), F.col(column) <= F.lit(e))
+    ]
     counted = _scan(df, counts)
+    around = {mark: (counted[2 * i], counted[2 * i + 1]) for i, mark in enumerate(marks)}
     still_open = []
-    for i, (r, (lo, hi)) in enumerate(zip(ranges, edges)):
-        below_lo, through_lo, below_hi, through_hi = counted[4 * i : 4 * i + 4]
+    for r, (lo, hi) in zip(ranges, edges):
+        below_lo, through_lo = around[(r.column, lo)]
+        below_hi, through_hi = around[(r.column, hi)]
         if r.rank < below_lo:
             still_open.append(_Range(r.column, r.rank, r.low, lo, r.below, below_lo - r.below))
         elif r.rank < through_lo:
-            found[r.column][r.rank] = lo
+            found[r.column][r.rank] = Rank(lo, below_lo, through_lo - below_lo)
         elif r.rank < below_hi:
-            still_open.append(
-                _Range(r.column, r.rank, lo, hi, through_lo, below_hi - through_lo)
-            )
+            between = below_hi - through_lo
+            still_open.append(_Range(r.column, r.rank, lo, hi, through_lo, between))
         elif r.rank < through_hi:
-            found[r.column][r.rank] = hi
+            found[r.column][r.rank] = Rank(hi, below_hi, through_hi - below_hi)
         else:
-            end = r.below + r.inside
-            still_open.append(_Range(r.column, r.rank, hi, r.high, through_hi, end - through_hi))
+            above = r.below + r.inside - through_hi
+            still_open.append(_Range(r.column, r.rank, hi, r.high, through_hi, above))
     return still_open
 
 
@@ -126,13 +193,18 @@ def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | No
     columns = list(columns)
     if not columns:
         return {}
-    counts = dict(zip(columns, _scan(df, [F.count(F.col(c)) for c in columns])))
+    first = _scan(
+        df, [F.count(F.col(c)) for c in columns] + [sketch_around(F.col(c), 0.5) for c in columns]
+    )
+    counts = dict(zip(columns, first))
+    around = dict(zip(columns, first[len(columns) :]))
     ranks = {c: [(n - 1) // 2, n // 2] for c, n in counts.items() if n}
-    values = order_statistics(df, ranks) if ranks else {}
+    guesses = {(c, k): around[c] for c, ks in ranks.items() for k in ks}
+    values = order_statistics(df, ranks, counts, guesses=guesses) if ranks else {}
     medians: dict[str, float | None] = {}
     for c in columns:
         if c in values:
-            lower, upper = (float(values[c][k]) for k in ranks[c])
+            lower, upper = (float(values[c][k].value) for k in ranks[c])
             medians[c] = lower if lower == upper else (lower + upper) / 2.0
         else:
             medians[c] = None
@@ -151,6 +223,16 @@ def quantile_edges(df: DataFrame, column: str, pieces: int) -> list[float]:
     return sorted(set(found)) if found else []
 
 
+def many_value_edges(df: DataFrame, column: str, pieces: int, few: int = 50_000) -> list[float]:
+    """Edges as in ``quantile_edges``, or none when the column has few distinct values."""
+    value = F.col(column).cast("double")
+    kept = F.when(~F.isnan(value), value)
+    shares = [i / pieces for i in range(1, pieces)]
+    sketch = F.percentile_approx(kept, shares, max(10_000, 20 * pieces))
+    distinct, found = df.agg(F.approx_count_distinct(kept, 0.02), sketch).first()
+    return sorted(set(found)) if found and distinct > few else []
+
+
 def with_bucket(df: DataFrame, column: str, edges: Sequence[float], name: str) -> DataFrame:
     """Number of the range a value falls in; monotone in ``column``. Nulls get a last bucket."""
     if not edges:
@@ -216,9 +298,19 @@ def running_totals(
     """Adds ``cum_<v>`` (inclusive running sum in ``order``) and ``all_<v>`` (group total).
 
     ``(by, order)`` must be unique. ``edges`` cut ``order`` into ranges, so no window partition
-    holds a whole group; the per-range totals that link them are small.
+    holds a whole group; the per-range totals that link them are small. Without edges a group
+    is one window partition, for callers that know it is short.
     """
     by = list(by)
+    if not edges:
+        group = Window.partitionBy(*by)
+        column = F.col(order).desc() if descending else F.col(order).asc()
+        running = group.orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.select(
+            "*",
+            *[F.sum(v).over(running).alias(f"cum_{v}") for v in values],
+            *[F.sum(v).over(group).alias(f"all_{v}") for v in values],
+        )
     ranged = with_bucket(df, order, list(edges), "_range")
     cells = [*by, "_range"]
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyguard.operators.ordering import order_statistics
+from tallyguard.operators.ordering import order_statistics, sketch_around
 
 SPLITS = ("train", "dev", "test")
 
@@ -48,28 +48,43 @@ def split_boundaries(
     ``tie`` must be a numeric unique id; rows are ranked by (time, tie).
     """
     keys = df.select(F.col(time).alias("t"), F.col(tie).alias("k"))
-    n, missing = keys.agg(F.count(F.lit(1)), F.count_if(F.col("t").isNull() | F.col("k").isNull())).first()
+    # One pass counts the rows and sketches where the cuts will be.
+    n, missing, dev_guess, test_guess = keys.agg(
+        F.count(F.lit(1)),
+        F.count_if(F.col("t").isNull() | F.col("k").isNull()),
+        sketch_around(F.col("t"), min(max(train, 0.0), 1.0)),
+        sketch_around(F.col("t"), min(max(train + dev, 0.0), 1.0)),
+    ).first()
     if missing:
         raise ValueError(f"{missing} rows have no {time} or no {tie}")
     n_train, n_dev = split_sizes(n, train, dev, test)
     cuts = [r for r in dict.fromkeys([n_train, n_train + n_dev]) if r < n]
-    starts = _keys_at(keys, cuts) if cuts else {}
+    guesses = {("t", n_train + n_dev): test_guess, ("t", n_train): dev_guess}
+    starts = _keys_at(keys, cuts, n, guesses) if cuts else {}
     return SplitBoundaries(
         starts.get(n_train), starts.get(n_train + n_dev), n, n_train, n_dev
     )
 
 
-def _keys_at(keys: DataFrame, ranks: list[int]) -> dict[int, tuple]:
+def _keys_at(keys: DataFrame, ranks: list[int], n: int, guesses: dict) -> dict[int, tuple]:
     """(time, tie) at each zero-based rank: select the time, then the tie inside that time."""
-    times = order_statistics(keys, {"t": ranks})["t"]
-    counts = keys.agg(
-        *[F.count_if(F.col("t") < F.lit(times[r])).alias(f"b{i}") for i, r in enumerate(ranks)]
-    ).first()
-    tied = keys.where(F.col("t").isin([times[r] for r in ranks])).select(
-        *[F.when(F.col("t") == F.lit(times[r]), F.col("k")).alias(f"k{i}") for i, r in enumerate(ranks)]
-    )
-    ties = order_statistics(tied, {f"k{i}": [r - counts[i]] for i, r in enumerate(ranks)})
-    return {r: (times[r], ties[f"k{i}"][r - counts[i]]) for i, r in enumerate(ranks)}
+    times = order_statistics(keys, {"t": ranks}, {"t": n}, carry="k", guesses=guesses)["t"]
+    found = {r: (times[r].value, times[r].carried) for r in ranks}
+    tied = {r: f"k{i}" for i, r in enumerate(ranks) if times[r].carried is None}
+    if tied:
+        # A cut inside a crowded time: select the tie among the rows of that time.
+        same_time = keys.where(F.col("t").isin([times[r].value for r in tied])).select(
+            *[F.when(F.col("t") == F.lit(times[r].value), F.col("k")).alias(c) for r, c in tied.items()]
+        )
+        inner = {r: r - times[r].below for r in tied}
+        ties = order_statistics(
+            same_time,
+            {c: [inner[r]] for r, c in tied.items()},
+            {c: times[r].equal for r, c in tied.items()},
+        )
+        for r, c in tied.items():
+            found[r] = (times[r].value, ties[c][inner[r]].value)
+    return found
 
 
 def _before(time: str, tie: str, key: tuple | None) -> Column:

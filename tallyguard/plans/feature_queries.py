@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tallyguard.operators import latent, windows
@@ -37,7 +38,7 @@ def _corr_sql(columns: list[str]) -> str:
     for i, a in enumerate(columns):
         for j in range(i + 1, len(columns)):
             b = columns[j]
-            value = "NULL::DOUBLE" if "flat" in (a, b) else f"round(corr({a}, {b}), 6) + 0.0"
+            value = "CASE WHEN count(*) < 0 THEN 0.0::DOUBLE END" if "flat" in (a, b) else f"round(corr({a}, {b}), 6) + 0.0"
             rows.append(f"SELECT {i} AS i, {j} AS j, '{a}' AS col_i, '{b}' AS col_j, {value} AS corr FROM v")
     return " UNION ALL ".join(rows)
 
@@ -281,8 +282,6 @@ UNION ALL SELECT vec_id, (64 + num)::INT, round(dist, 6) FROM d"""
 def feature_augmentation(spark, folder):
     rows = latent.as_vector(_distances(spark, folder), "embedding")
     both = latent.augment(rows, "features", "distances")
-    from pyspark.ml.functions import vector_to_array
-
     values = vector_to_array("features_augmented")
     return both.select("vec_id", F.posexplode(values).alias("pos", "value")).withColumn("value", r6("value"))
 
@@ -406,8 +405,8 @@ def masked_pooling(spark, folder):
     )
     energies = F.transform("window", lambda v: v[0])
     values = F.transform("window", lambda v: F.slice(v, 2, 2))
-    pooled = windows.masked_pooling(energies, values, F.col("padding_mask"))
-    return padded.select("TransactionID", pooled.alias("pooled")).select(
+    pooled = windows.masked_pooling(padded, energies, values, F.col("padding_mask"), "pooled")
+    return pooled.select(
         "TransactionID", r6(F.get("pooled", 0), 5).alias("amount"), r6(F.get("pooled", 1), 5).alias("score")
     )
 
