@@ -14,7 +14,6 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyguard.operators.skew import null_safe_on
 from tallyguard.session import partition_target
 
 GATHER_ROWS = 20_000
@@ -311,30 +310,31 @@ def running_totals(
             *[F.sum(v).over(running).alias(f"cum_{v}") for v in values],
             *[F.sum(v).over(group).alias(f"all_{v}") for v in values],
         )
-    ranged = with_bucket(df, order, list(edges), "_range")
-    cells = [*by, "_range"]
+    # One key per (group, range): a struct compares null groups as equal, and the window and
+    # the join below share one shuffle on it.
+    ranged = with_bucket(df, order, list(edges), "_range").withColumn(
+        "_cell", F.struct(*by, "_range")
+    )
 
     def arranged(column: str) -> Column:
         return F.col(column).desc() if descending else F.col(column).asc()
 
-    sums = ranged.groupBy(*cells).agg(*[F.sum(v).alias(f"_sum_{v}") for v in values])
-    group = Window.partitionBy(*by)
-    before = group.orderBy(arranged("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("_cell").agg(*[F.sum(v).alias(f"_sum_{v}") for v in values])
+    group = Window.partitionBy(*[F.col(f"_cell.{c}") for c in by])
+    before = group.orderBy(arranged("_cell._range")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
-        *[F.col(c).alias(f"_o{c}") for c in cells],
+        "_cell",
         *[F.coalesce(F.sum(f"_sum_{v}").over(before), F.lit(0)).alias(f"_off_{v}") for v in values],
         *[F.sum(f"_sum_{v}").over(group).alias(f"all_{v}") for v in values],
     )
     inside = (
-        Window.partitionBy(*cells)
+        Window.partitionBy("_cell")
         .orderBy(arranged(order))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     local = ranged.select("*", *[F.sum(v).over(inside).alias(f"_in_{v}") for v in values])
-    keyed = offsets.withColumnsRenamed({f"_o{c}": c for c in cells})
-    joined = local.alias("l").join(keyed.alias("o"), null_safe_on(local, keyed, cells))
-    return joined.select(
-        *[F.col(f"l.{c}") for c in df.columns],
-        *[(F.col(f"l._in_{v}") + F.col(f"o._off_{v}")).alias(f"cum_{v}") for v in values],
-        *[F.col(f"o.all_{v}") for v in values],
+    return local.join(offsets, "_cell").select(
+        *df.columns,
+        *[(F.col(f"_in_{v}") + F.col(f"_off_{v}")).alias(f"cum_{v}") for v in values],
+        *[F.col(f"all_{v}") for v in values],
     )

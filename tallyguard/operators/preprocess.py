@@ -120,7 +120,7 @@ def _fit_categories(rows: DataFrame, column: str, state: FeatureState, inline: i
         state.inline[column] = sorted(few)
         state.category_counts[column] = len(few)
     else:
-        ranked = durable(_ranked_categories(distinct))
+        ranked = durable(_ranked_categories(durable(distinct)))
         state.dictionaries[column] = ranked
         state.category_counts[column] = ranked.count()
 

@@ -3,27 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 2_000_000
 SALTS = 64
-
-
-def null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+MAX_HOT = 4096
 
 
 def hot_keys(df: DataFrame, key: str, limit: int = HOT_ROWS) -> list:
-    """Values of ``key`` with more than ``limit`` rows.
+    """The largest values of ``key`` with more than ``limit`` rows, at most MAX_HOT of them.
 
-    At most rows/limit values qualify, so the collected list is small by construction. The
-    count is combined map-side before its shuffle.
+    Any other key then holds at most 1/MAX_HOT of the rows or ``limit`` rows, so the list is
+    small and what stays unsplit is small too. Counts are combined map-side before the shuffle.
     """
     counted = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return [row[0] for row in counted.where(F.col("n") > limit).select(key).collect()]
+    largest = counted.where(F.col("n") > limit).orderBy(F.col("n").desc()).limit(MAX_HOT)
+    return [row[0] for row in largest.select(key).collect()]
 
 
 def salted_left_join(

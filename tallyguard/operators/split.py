@@ -102,6 +102,20 @@ def assign_split(df: DataFrame, bounds: SplitBoundaries, time: str, tie: str) ->
     return df.withColumn("split", part.otherwise(F.lit("test")))
 
 
+def only_split(df: DataFrame, bounds: SplitBoundaries, split: str, time: str, tie: str) -> DataFrame:
+    """The rows of one split, read with a plain range on ``time`` that reaches the file scan."""
+    start = {"train": None, "dev": bounds.dev_start, "test": bounds.test_start}[split]
+    end = {"train": bounds.dev_start, "dev": bounds.test_start, "test": None}[split]
+    if split != "train" and start is None:
+        return df.where(F.lit(False))
+    rows = df
+    if start is not None:
+        rows = rows.where(F.col(time) >= F.lit(start[0])).where(~_before(time, tie, start))
+    if end is not None:
+        rows = rows.where(F.col(time) <= F.lit(end[0])).where(_before(time, tie, end))
+    return rows.withColumn("split", F.lit(split))
+
+
 def temporal_split(
     df: DataFrame,
     time: str = "TransactionDT",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyguard.functions.expressions import loss_column
 from tallyguard.models.weights import class_weight_table
 from tallyguard.operators import metrics
+from tallyguard.operators.split import only_split, split_boundaries
 from tallyguard.plans.views import (
     LONG,
     SPLIT,
@@ -207,8 +208,10 @@ FROM half, areas"""
 )
 def out_of_time_evaluation(spark, folder):
     """The flagship flow: split by time, fix the threshold on dev, measure and cost it on test."""
-    rows = split_transactions(spark, folder)
-    dev, test = (rows.where(F.col("split") == s) for s in ("dev", "test"))
+    rows = transactions(spark, folder)
+    keys = ("TransactionDT", "TransactionID")
+    bounds = split_boundaries(rows, *keys)
+    dev, test = (only_split(rows, bounds, s, *keys) for s in ("dev", "test"))
     cut = metrics.best_threshold(dev, "isFraud", "score").first()["threshold"]
     record = metrics.metrics_record(test, "isFraud", "score", optimal_threshold=cut)
     loss = metrics.financial_loss(test, "isFraud", "score", cut).select("cost_per_transaction")

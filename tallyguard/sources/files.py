@@ -8,6 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyguard.session import durable
+
+
+# Largest block list that is broadcast: about 150 MB, the blocks of some 60 TB.
+BROADCAST_BLOCKS = 500_000
+
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """CSV with a header row, read against an explicit schema."""
@@ -71,7 +77,11 @@ def file_order_id(df: DataFrame, name: str) -> DataFrame:
     blocks = placed.groupBy(*block).agg(F.count(F.lit(1)).alias("_rows"), F.min("_seen").alias("_first"))
     # One row per input block: an unpartitioned window over the block list is small.
     before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select(*block, "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_off"))
+    offsets = durable(
+        blocks.select(*block, "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_off"))
+    )
+    if offsets.count() <= BROADCAST_BLOCKS:
+        offsets = F.broadcast(offsets)
     return (
         placed.join(offsets, block)
         .withColumn(name, (F.col("_off") + F.col("_seen") - F.col("_first")).cast("long"))
