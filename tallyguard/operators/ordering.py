@@ -235,11 +235,10 @@ def many_value_edges(df: DataFrame, column: str, pieces: int, few: int = 50_000)
 def with_bucket(df: DataFrame, column: str, edges: Sequence[float], name: str) -> DataFrame:
     """Number of the range a value falls in; monotone in ``column``. Nulls get a last bucket."""
     if not edges:
-        return df.withColumn(name, F.lit(0.0))
+        return df.withColumn(name, F.lit(0))
     splits = [float("-inf"), *edges, float("inf")]
-    return Bucketizer(
-        splits=splits, inputCol=column, outputCol=name, handleInvalid="keep"
-    ).transform(df)
+    cut = Bucketizer(splits=splits, inputCol=column, outputCol=name, handleInvalid="keep")
+    return cut.transform(df).withColumn(name, F.col(name).cast("int"))
 
 
 def global_row_number(
@@ -257,10 +256,10 @@ def global_row_number(
         crowded = F.col("_range").isin(heavy)
         tie_edges = quantile_edges(ranged.where(crowded), tie, pieces)
         ranged = with_bucket(ranged, tie, tie_edges, "_tie_range").withColumn(
-            "_tie_range", F.when(crowded, F.col("_tie_range")).otherwise(F.lit(0.0))
+            "_tie_range", F.when(crowded, F.col("_tie_range")).otherwise(F.lit(0))
         )
     else:
-        ranged = ranged.withColumn("_tie_range", F.lit(0.0))
+        ranged = ranged.withColumn("_tie_range", F.lit(0))
 
     cells = ["_range", "_tie_range"]
     sizes = ranged.groupBy(*cells).agg(F.count(F.lit(1)).alias("_rows"))
@@ -276,7 +275,7 @@ def global_row_number(
     )
 
 
-def _single_value_ranges(ranged: DataFrame, time: str, pieces: int) -> list[float]:
+def _single_value_ranges(ranged: DataFrame, time: str, pieces: int) -> list[int]:
     """Ranges that hold one single time value and more than two shares of the rows."""
     shape = ranged.groupBy("_range").agg(
         F.count(F.lit(1)).alias("n"), F.min(time).alias("lo"), F.max(time).alias("hi")

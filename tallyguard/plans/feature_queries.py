@@ -106,7 +106,7 @@ def _feature_rows(spark, folder):
 SELECT TransactionID, split, round((TransactionAmt - a_amt) / s_amt, 6) + 0.0 AS num_TransactionAmt,
   round((coalesce(C1, m_c1) - a_c1) / s_c1, 6) + 0.0 AS num_C1,
   round(coalesce(k, 0) / (SELECT max(n) + 1.0 FROM codes), 6) + 0.0 AS cat_kind,
-  CASE WHEN late = 'known' THEN 0.5 ELSE 0.0 END AS cat_late
+  CASE WHEN late = 'known' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS cat_late
 FROM wide, med, st LEFT JOIN codes ON c = coalesce(kind, 'MISSING')"""
 )
 def feature_matrix(spark, folder):

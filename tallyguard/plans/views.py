@@ -48,7 +48,7 @@ def transactions(spark: SparkSession, folder: str) -> DataFrame:
         F.col("user_id").alias("card1"),
         amount.alias("TransactionAmt"),
         F.col("event_type").alias("ProductCD"),
-        F.expr("nullif(cast(get_json_object(props, '$.k') as int) div 10, 0)").alias("C1"),
+        F.expr("cast(nullif(cast(get_json_object(props, '$.k') as int) div 10, 0) as int)").alias("C1"),
         F.when((F.col("event_type") == "error") & (amount >= 90), 1).otherwise(0).alias("isFraud"),
         F.round(1 / (1 + F.exp(-(amount - 90) / 30)), 3).alias("score"),
     )
