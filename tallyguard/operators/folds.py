@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyguard.operators.ordering import global_row_number
 from tallyguard.operators.skew import HOT_ROWS, salted_left_join
+from tallyguard.session import durable
 
 
 @dataclass(frozen=True)
@@ -151,5 +152,8 @@ def fold_report(
 
 
 def with_row_time(df: DataFrame, time: str, tie: str, name: str = "row_time") -> DataFrame:
-    """Row position as the time axis, for tables without a usable timestamp."""
-    return global_row_number(df, time, tie, name).withColumn(name, F.col(name) - 1)
+    """Row position as the time axis, for tables without a usable timestamp.
+
+    The folds read their rows several times, so the numbered rows are written once.
+    """
+    return durable(global_row_number(df, time, tie, name).withColumn(name, F.col(name) - 1))

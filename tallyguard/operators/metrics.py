@@ -116,8 +116,17 @@ def threshold_sweep(
     Each score falls into the cell of the highest grid threshold it reaches; at most a hundred
     cells per group remain, and the counts at a threshold are sums over the cells above it.
     """
+    rows = df.select(
+        *by,
+        F.col(p).cast("double").alias("p"),
+        F.col(y).cast("long").alias("pos"),
+        F.lit(1).cast("long").alias("n"),
+    )
+    return _sweep(rows, by, grid)
+
+
+def _sweep(scores: DataFrame, by: Sequence[str], grid: tuple[int, int]) -> DataFrame:
     low, high = grid
-    scores = df.select(*by, F.col(p).cast("double").alias("p"), F.col(y).cast("long").alias("y"))
     guess = F.least(F.greatest(F.floor(F.col("p") * 100), F.lit(low - 1)), F.lit(high))
     # floor can miss by one in the last bit; compare with the thresholds themselves.
     cell = (
@@ -127,7 +136,7 @@ def threshold_sweep(
         .cast("int")
     )
     cells = scores.groupBy(*by, cell.alias("cell")).agg(
-        F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n")
+        F.sum("pos").alias("pos"), F.sum("n").alias("n")
     )
     packed = cells.groupBy(*by).agg(
         F.collect_list(F.struct("cell", "pos", "n")).alias("cells"),
@@ -170,7 +179,12 @@ def best_threshold(
     """
     if criterion not in ("f1", "cost"):
         raise ValueError(f"unknown criterion {criterion}")
-    swept = threshold_sweep(df, y, p, by, SEARCH_GRID)
+    return _best(threshold_sweep(df, y, p, by, SEARCH_GRID), by, criterion, fn_cost, fp_cost)
+
+
+def _best(
+    swept: DataFrame, by: Sequence[str], criterion: str, fn_cost: float, fp_cost: float
+) -> DataFrame:
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     value = _f1(tp, fp, fn) if criterion == "f1" else fn * F.lit(fn_cost) + fp * F.lit(fp_cost)
     valued = swept.withColumn("value", value)
@@ -227,7 +241,9 @@ def metrics_record(
         record = ranked.groupBy(*by).agg(*[c.alias(k) for k, c in columns.items()])
     else:
         record = ranked.groupBy(*by).agg(*[c.alias(k) for k, c in columns.items()])
-        found = best_threshold(df, y, p, by).select(
+        # The same counts feed the sweep, so Spark shuffles and scans them once.
+        swept = _sweep(score_counts(df, y, p, by), by, SEARCH_GRID)
+        found = _best(swept, by, "f1", *SEARCH_COSTS).select(
             *by, F.col("score").alias("fraud_f1_opt"), F.col("threshold").alias("optimal_threshold")
         )
         # One row per group on each side: stack and collapse, which also serves an empty ``by``.

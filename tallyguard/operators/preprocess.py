@@ -89,8 +89,8 @@ def fit_features(
         time, entity, row_id, target, numeric, categorical, correlated, all_null,
         {c: medians[c] for c in numeric}, means, scales,
     )
-    for c in categorical:
-        _fit_categories(rows, c, state, inline_categories)
+    if categorical:
+        _fit_categories(rows, state, inline_categories)
     return state
 
 
@@ -112,17 +112,29 @@ def _category(column: str):
     return F.coalesce(F.col(column).cast("string"), F.lit(MISSING))
 
 
-def _fit_categories(rows: DataFrame, column: str, state: FeatureState, inline: int) -> None:
-    """Codes by sorted order: the k-th of K categories becomes (k+1)/(K+1)."""
-    distinct = rows.select(_category(column).alias("category")).groupBy("category").count()
-    few = [r["category"] for r in distinct.select("category").limit(inline + 1).collect()]
-    if len(few) <= inline:
-        state.inline[column] = sorted(few)
-        state.category_counts[column] = len(few)
-    else:
-        ranked = durable(_ranked_categories(durable(distinct)))
-        state.dictionaries[column] = ranked
-        state.category_counts[column] = ranked.count()
+def _fit_categories(rows: DataFrame, state: FeatureState, inline: int) -> None:
+    """Codes by sorted order: the k-th of K categories becomes (k+1)/(K+1).
+
+    One pass counts the categories of all columns, combined map-side.
+    """
+    cells = F.array(
+        *[F.struct(F.lit(c).alias("column"), _category(c).alias("category")) for c in state.categorical]
+    )
+    counted = durable(
+        rows.select(F.inline(cells)).groupBy("column", "category").agg(F.count(F.lit(1)).alias("count"))
+    )
+    sizes = {r["column"]: r["n"] for r in counted.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    state.category_counts = {c: sizes.get(c, 0) for c in state.categorical}
+    few = [c for c in state.categorical if state.category_counts[c] <= inline]
+    state.inline = {c: [] for c in few}
+    # At most ``inline`` rows per column.
+    for r in counted.where(F.col("column").isin(few)).select("column", "category").collect():
+        state.inline[r["column"]].append(r["category"])
+    state.inline = {c: sorted(values) for c, values in state.inline.items()}
+    for c in state.categorical:
+        if c not in state.inline:
+            one = counted.where(F.col("column") == c).drop("column")
+            state.dictionaries[c] = durable(_ranked_categories(one))
 
 
 def _ranked_categories(distinct: DataFrame) -> DataFrame:
