@@ -9,8 +9,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Time units, texts of missing key parts, focal loss defaults and limits, and the
+# positive weight used when none is given.
 SECONDS_PER_DAY = 86400.0
 SECONDS_PER_HOUR = 3600.0
+MISSING_TEXT = "UNK"
+MISSING_NUMBER = "0"
+MISSING_FLOAT = "0.0"
+FOCAL_ALPHA = 0.75
+FOCAL_GAMMA = 2.0
+PROBABILITY_MARGIN = 1e-6
+DEFAULT_POSITIVE_WEIGHT = 27.5
 CYCLICAL = ("hour_sin", "hour_cos", "day_sin", "day_cos")
 
 
@@ -57,9 +66,10 @@ def entity_key(df: DataFrame, parts: list[str]) -> Column:
     for part in parts:
         dtype = df.schema[part].dataType
         if isinstance(dtype, T.StringType):
-            pieces.append(F.coalesce(F.col(part), F.lit("UNK")))
+            pieces.append(F.coalesce(F.col(part), F.lit(MISSING_TEXT)))
         else:
-            zero = "0.0" if isinstance(dtype, (T.FloatType, T.DoubleType)) else "0"
+            is_float = isinstance(dtype, (T.FloatType, T.DoubleType))
+            zero = MISSING_FLOAT if is_float else MISSING_NUMBER
             pieces.append(F.coalesce(plain_number(part, dtype), F.lit(zero)))
     return F.concat_ws("_", *pieces)
 
@@ -85,26 +95,23 @@ def log_loss_of_logit(logit: Column, y: Column, positive_weight: float = 1.0) ->
 
 
 def focal_loss_of_logit(
-    logit: Column, y: Column, alpha: float = 0.75, gamma: float = 2.0
+    logit: Column, y: Column, alpha: float = FOCAL_ALPHA, gamma: float = FOCAL_GAMMA
 ) -> Column:
     """Binary focal loss on a logit; p is kept in [1e-6, 1-1e-6] and 1-p_t above 1e-6."""
-    p = F.least(F.greatest(sigmoid(logit), F.lit(1e-6)), F.lit(1.0 - 1e-6))
+    low, high = F.lit(PROBABILITY_MARGIN), F.lit(1.0 - PROBABILITY_MARGIN)
+    p = F.least(F.greatest(sigmoid(logit), low), high)
     p_true = p * y + (1.0 - p) * (1.0 - y)
     class_weight = F.lit(alpha) * y + F.lit(1.0 - alpha) * (1.0 - y)
-    focus = F.pow(F.greatest(1.0 - p_true, F.lit(1e-6)), F.lit(float(gamma)))
+    focus = F.pow(F.greatest(1.0 - p_true, F.lit(PROBABILITY_MARGIN)), F.lit(float(gamma)))
     return class_weight * focus * log_loss_of_logit(logit, y)
 
 
-# Fixed value: the positive weight used when none is given.
-DEFAULT_POSITIVE_WEIGHT = 27.5
-
-
 def loss_column(
     kind: str,
     logit: Column,
     y: Column,
-    alpha: float = 0.75,
-    gamma: float = 2.0,
+    alpha: float = FOCAL_ALPHA,
+    gamma: float = FOCAL_GAMMA,
     positive_weight: float | None = None,
 ) -> Column:
     """``focal``, ``weighted_bce``, or plain cross entropy for any other name."""

@@ -12,13 +12,19 @@ from tallyguard.operators.skew import HOT_ROWS, salted_left_join
 from tallyguard.session import durable
 
 
+# Default fold settings.
+FOLDS = 5
+FIRST_TRAIN_SHARE = 0.4
+PURGE_SECONDS = 86400.0
+
+
 @dataclass(frozen=True)
 class PurgedFolds:
     """Fold settings. ``purge_buffer_seconds``, when given, replaces ``purge_seconds``."""
 
-    n_splits: int = 5
-    min_train_ratio: float = 0.4
-    purge_seconds: float = 86400.0
+    n_splits: int = FOLDS
+    min_train_ratio: float = FIRST_TRAIN_SHARE
+    purge_seconds: float = PURGE_SECONDS
     purge_buffer_seconds: float | None = None
 
     @property

@@ -11,16 +11,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyguard.functions.expressions import loss_column, predicted, sigmoid
+from tallyguard.functions.expressions import (
+    FOCAL_ALPHA,
+    FOCAL_GAMMA,
+    loss_column,
+    predicted,
+    sigmoid,
+)
 from tallyguard.operators.ordering import many_value_edges, running_totals
 from tallyguard.session import partition_target
 
-# Default costs and sweep grids in hundredths.
+# Default costs (missed, false alarm), sweep grids in hundredths, and the
+# precision floor.
 SEARCH_COSTS = (100.0, 10.0)
 LOSS_COSTS = (500.0, 20.0)
 REVIEW_COSTS = (500.0, 25.0)
 SEARCH_GRID = (1, 99)
 COST_CURVE_GRID = (2, 98)
+PRECISION_FLOOR = 0.95
 
 
 def score_counts(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
@@ -61,7 +69,7 @@ def _ranking_columns() -> dict[str, Column]:
     ap = F.sum(_ratio(pos, all_pos) * precision)
     # Trapezoid: this score's negatives times the mean recall before and after it.
     area = F.sum(_ratio((n - pos) * (tp - pos / 2.0), all_pos * all_neg))
-    recall = F.max(F.when(precision >= 0.95, _ratio(tp, all_pos)).otherwise(0.0))
+    recall = F.max(F.when(precision >= PRECISION_FLOOR, _ratio(tp, all_pos)).otherwise(0.0))
     undefined = F.coalesce(_one_class(), F.lit(True))
     return {
         "pr_auc": F.when(undefined, 0.0).otherwise(ap),
@@ -384,8 +392,8 @@ def evaluate_logits(
     logit: str,
     by: Sequence[str] = (),
     loss: str = "focal",
-    alpha: float = 0.75,
-    gamma: float = 2.0,
+    alpha: float = FOCAL_ALPHA,
+    gamma: float = FOCAL_GAMMA,
     positive_weight: float | None = None,
 ) -> DataFrame:
     """Mean loss, average precision and ROC-AUC of logits.

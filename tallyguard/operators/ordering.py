@@ -74,6 +74,7 @@ def order_statistics(
     carry: str | None = None,
     guesses: Mapping[tuple[str, int], Sequence] | None = None,
     gather_rows: int = GATHER_ROWS,
+    places: bool = True,
 ) -> dict[str, dict[int, Rank]]:
     """Exact values at zero-based ascending ``ranks`` among the non-null values of each column.
 
@@ -82,7 +83,7 @@ def order_statistics(
     One round cuts a range to about 1/2500 of its rows.
 
     ``totals`` and ``guesses`` (two enclosing values per rank) save the first count and sketch.
-    Rows with equal values are ranked by ``carry``.
+    Rows with equal values are ranked by ``carry``. Without ``places`` only values are wanted.
     """
     found: dict[str, dict[int, Rank]] = {column: {} for column in ranks}
     if totals is None:
@@ -95,13 +96,15 @@ def order_statistics(
             open_ranges.append(_Range(column, rank, None, None, 0, totals[column]))
 
     while open_ranges:
-        _finish(df, [r for r in open_ranges if r.inside <= gather_rows], carry, found)
+        _finish(df, [r for r in open_ranges if r.inside <= gather_rows], carry, places, found)
         open_ranges = _narrow(df, [r for r in open_ranges if r.inside > gather_rows], guesses, found)
         guesses = None
     return found
 
 
-def _finish(df: DataFrame, ranges: list[_Range], carry: str | None, found: dict) -> None:
+def _finish(
+    df: DataFrame, ranges: list[_Range], carry: str | None, places: bool, found: dict
+) -> None:
     """Read the rank off the sorted values of a small range."""
     if not ranges:
         return
@@ -128,8 +131,8 @@ def _finish(df: DataFrame, ranges: list[_Range], carry: str | None, found: dict)
         *[
             F.struct(
                 F.col(f"at{i}.v").alias("value"),
-                _matching(s, f"at{i}", below=True).alias("below"),
-                _matching(s, f"at{i}", below=False).alias("equal"),
+                (_matching(s, f"at{i}", below=True) if places else F.lit(0)).alias("below"),
+                (_matching(s, f"at{i}", below=False) if places else F.lit(0)).alias("equal"),
                 F.col(f"at{i}.c").alias("carried"),
             )
             for i, s in enumerate(where)
@@ -199,7 +202,7 @@ def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | No
     around = dict(zip(columns, first[len(columns) :]))
     ranks = {c: [(n - 1) // 2, n // 2] for c, n in counts.items() if n}
     guesses = {(c, k): around[c] for c, ks in ranks.items() for k in ks}
-    values = order_statistics(df, ranks, counts, guesses=guesses) if ranks else {}
+    values = order_statistics(df, ranks, counts, guesses=guesses, places=False) if ranks else {}
     medians: dict[str, float | None] = {}
     for c in columns:
         if c in values:

@@ -16,7 +16,9 @@ from tallyguard.operators.ordering import exact_medians
 from tallyguard.operators.skew import salted_left_join
 from tallyguard.session import durable
 
+# Fixed value: the category of a missing text.
 MISSING = "MISSING"
+
 INLINE_CATEGORIES = 256
 RANK_PIECES = 256
 

@@ -277,22 +277,40 @@ def metadata_and_target(spark, folder):
     )
 
 
+DOCUMENT_ROLES = {
+    "lang": "categorical",
+    "source": "categorical",
+    "n_chars": "numeric",
+    "quality": "numeric",
+    "toxic": "numeric",
+    "long_text": "numeric",
+}
+
+
 @query(
-    """SELECT column_name, kind FROM (VALUES ('n_chars', 'numeric'), ('quality', 'numeric'),
-  ('toxic', 'numeric'), ('long_text', 'numeric'), ('lang', 'categorical'), ('source', 'categorical'))
-  t(column_name, kind)
-WHERE (SELECT count(*) FROM documents) > 0"""
+    "WITH d AS (SELECT *, n_chars > 1000 AS long_text FROM documents LEFT JOIN labels USING (doc_id)) "
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, '{k}' AS kind, count({c})::BIGINT AS present, count(DISTINCT {c})::BIGINT AS distinct_values FROM d"
+        for c, k in DOCUMENT_ROLES.items()
+    )
 )
 def column_roles(spark, folder):
-    """Numeric and categorical columns by type; a boolean counts as numeric."""
+    """Numeric and categorical columns by type (a boolean counts as numeric) and how full they are."""
     docs = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
     rows = docs.withColumn("long_text", F.col("n_chars") > 1000).drop("text")
     numeric, categorical = column_kinds(rows, ["doc_id"])
-    kinds = [(c, "numeric") for c in numeric] + [(c, "categorical") for c in categorical]
-    pairs = F.array(
-        *[F.struct(F.lit(c).alias("column_name"), F.lit(k).alias("kind")) for c, k in kinds]
+    kinds = dict.fromkeys(numeric, "numeric") | dict.fromkeys(categorical, "categorical")
+    cells = F.array(
+        *[
+            F.struct(F.lit(c).alias("column_name"), F.lit(k).alias("kind"), F.col(c).cast("string").alias("value"))
+            for c, k in kinds.items()
+        ]
+    )
+    return (
+        rows.select(F.inline(cells))
+        .groupBy("column_name", "kind")
+        .agg(F.count("value").alias("present"), F.count_distinct("value").alias("distinct_values"))
     )
-    return rows.agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(F.inline(pairs))
 
 
 @query(

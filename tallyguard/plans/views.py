@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +19,14 @@ def query(sql: str | None = None):
     """Register a query under its function name, with the SQL that must give the same rows."""
 
     def register(function):
-        CATALOG[function.__name__] = (function, sql)
-        return function
+        @wraps(function)
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            # The tables hold timestamps without a zone; seconds since 1970 are read as UTC.
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return function(spark, folder)
+
+        CATALOG[function.__name__] = (run, sql)
+        return run
 
     return register
 

@@ -21,7 +21,7 @@ LEADERBOARD = {
     "Model Size (MB)": ("checkpoint_mb", 1.5),
 }
 
-# Model families, and service tiers by latency in milliseconds.
+# Model families, service tiers by latency in milliseconds, and shown texts.
 FAMILIES = {
     "XGBoost": "Tree",
     "RandomForest": "Tree",
@@ -32,6 +32,14 @@ FAMILIES = {
 DEFAULT_FAMILY = "Neural"
 BATCH_LATENCY_SHARE = 0.15
 CARD_LIMIT_MS = 2.0
+TIER_CARD = "In-Flight Card Auth"  # below 2
+TIER_NEAR = "Near-Line Risk Check"  # 2 to 10
+TIER_BATCH = "Post-Auth AML Batch"  # above 50
+TIER_NONE = "unassigned"
+CALIBRATION_AXIS = "Calibration (1-Brier)"
+LABEL_TEXT = {1: "Fraud (1)", 0: "Legitimate (0)"}
+CLUSTER_TEXT = "Cluster "
+LATENT_ROWS = 2000
 
 
 def leaderboard(runs: DataFrame) -> DataFrame:
@@ -69,7 +77,7 @@ def competency_profile(board: DataFrame) -> DataFrame:
     """Five axes per model in long form; calibration is 1 - 10 x Brier, not below 0."""
     calibration = F.greatest(F.lit(0.0), 1.0 - F.col("`Brier Score`") * 10)
     axes = {t: F.col(f"`{t}`") for t in ("PR-AUC", "ROC-AUC", "F1 (Fraud)", "Recall @ 95% Prec")}
-    axes["Calibration (1-Brier)"] = calibration
+    axes[CALIBRATION_AXIS] = calibration
     rows = F.array(*[F.struct(F.lit(t).alias("axis"), c.alias("value")) for t, c in axes.items()])
     return board.select("Model", F.inline(rows))
 
@@ -96,10 +104,10 @@ def service_tier(latency: str):
     """Tier by latency; 10 to 50 ms belongs to none."""
     ms = F.col(latency)
     return (
-        F.when(ms < 2, "In-Flight Card Auth")
-        .when(ms <= 10, "Near-Line Risk Check")
-        .when(ms > 50, "Post-Auth AML Batch")
-        .otherwise("unassigned")
+        F.when(ms < CARD_LIMIT_MS, TIER_CARD)
+        .when(ms <= 10, TIER_NEAR)
+        .when(ms > 50, TIER_BATCH)
+        .otherwise(TIER_NONE)
     )
 
 
@@ -109,12 +117,12 @@ def latent_points(df: DataFrame, coordinates: str, label: str, cluster: str, row
     return df.select(
         row_id,
         *axes,
-        F.when(F.col(label) == 1, "Fraud (1)").otherwise("Legitimate (0)").alias("isFraud"),
-        F.concat(F.lit("Cluster "), F.col(cluster).cast("string")).alias("Cluster"),
+        F.when(F.col(label) == 1, LABEL_TEXT[1]).otherwise(LABEL_TEXT[0]).alias("isFraud"),
+        F.concat(F.lit(CLUSTER_TEXT), F.col(cluster).cast("string")).alias("Cluster"),
     )
 
 
-def first_rows(df: DataFrame, time: str, tie: str, n: int = 2000) -> DataFrame:
+def first_rows(df: DataFrame, time: str, tie: str, n: int = LATENT_ROWS) -> DataFrame:
     """The first ``n`` rows in time order (a top-n, not a full sort)."""
     return df.orderBy(time, tie).limit(n)
 

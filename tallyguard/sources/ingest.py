@@ -13,10 +13,12 @@ from tallyguard.operators.skew import HOT_ROWS, salted_left_join
 from tallyguard.sources.files import file_order_id, read_csv, write_parquet
 from tallyguard.sources.synthetic import synthetic_tables
 
-# Name parts that mark a non-negative 32-bit column, and the entity key parts.
+# Name parts that mark a non-negative 32-bit column, the entity key parts, and the
+# entity of a table without any key part.
 UNSIGNED_TERMS = ("id", "dt", "count", "card", "addr")
 ENTITY_PARTS = ("card1", "card2", "card3", "card4", "addr1", "D1")
 MAX_UNSIGNED = 2**32 - 1
+ONLY_ENTITY = "entity_0"
 
 
 def downcast(df: DataFrame) -> DataFrame:
@@ -59,7 +61,7 @@ def with_entity(df: DataFrame, name: str = "card_id", parts: Sequence[str] = ENT
         return df.withColumn(name, entity_key(df, list(parts)))
     if first in df.columns:
         return df.withColumn(name, F.col(first).cast("string"))
-    return df.withColumn(name, F.lit("entity_0"))
+    return df.withColumn(name, F.lit(ONLY_ENTITY))
 
 
 def chronological(df: DataFrame, time: str, tie: str) -> DataFrame:

@@ -123,3 +123,27 @@ def test_measured_batch_latency_wins(spark):
 def test_shared_folder_follows_the_session(spark):
     folder = shared_folder(spark)
     assert folder == shared_folder(spark) and spark.sparkContext.getCheckpointDir()
+
+
+def test_prepared_splits_come_back(spark, tmp_path):
+    from tallyguard.operators.preprocess import load_features, transform_features
+    from tallyguard.plans.job import prepare_splits
+
+    transactions, identity = synthetic_tables(spark, 600, 60)
+    merged = ingest.ingest_transactions(transactions, identity).select(
+        "TransactionID", "TransactionDT", "card_id", "isFraud", "TransactionAmt", "ProductCD", "DeviceType"
+    )
+    splits, state = prepare_splits(merged, str(tmp_path / "prepared"))
+    sizes = {r["split"]: r["count"] for r in splits.groupBy("split").count().collect()}
+    assert sizes == {"train": 480, "dev": 60, "test": 60}
+    again = load_features(spark, str(tmp_path / "prepared/features"))
+    assert again.feature_names == state.feature_names
+    found = transform_features(splits, again)
+    assert found.count() == 600 and found.where("num_TransactionAmt is null").count() == 0
+    # State comes from train alone: other dev and test rows leave it as it is.
+    changed = merged.withColumn(
+        "TransactionAmt",
+        F.when(F.col("TransactionID") >= 3_000_480, F.lit(1e6)).otherwise(F.col("TransactionAmt")),
+    )
+    _, other = prepare_splits(changed, str(tmp_path / "changed"))
+    assert other.medians == state.medians and other.means == pytest.approx(state.means)
