@@ -50,3 +50,31 @@ def salted_left_join(
         "_salt", F.explode(F.when(is_hot, every_salt).otherwise(F.array(F.lit(0))))
     )
     return salted_left.join(salted_right, [key, "_salt"], "left").drop("_salt")
+
+
+def skewed_left_join(
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    left_spread: Sequence[str],
+    right_spread: Sequence[str],
+    limit: int = HOT_ROWS,
+    salts: int = SALTS,
+) -> DataFrame:
+    """Left join for tables where either side may repeat one key very often.
+
+    Keys that are hot on the right surely match, so they join as an inner join: the right rows
+    are salted and the left rows repeated once per salt. The other keys join as a left join.
+    """
+    hot = hot_keys(right, key, limit)
+    if not hot:
+        return salted_left_join(left, right, key, left_spread, limit=limit, salts=salts)
+    crowded = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    usual = salted_left_join(
+        left.where(~crowded), right.where(~crowded), key, left_spread, limit=limit, salts=salts
+    )
+    every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
+    repeated = left.where(crowded).withColumn("_salt", F.explode(every_salt))
+    number = F.pmod(F.xxhash64(*right_spread), F.lit(salts)).cast("int")
+    dealt = right.where(crowded).withColumn("_salt", number)
+    return usual.unionByName(repeated.join(dealt, [key, "_salt"]).drop("_salt"))

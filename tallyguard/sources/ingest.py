@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyguard.functions.expressions import entity_key
-from tallyguard.operators.skew import HOT_ROWS, salted_left_join
+from tallyguard.operators.skew import HOT_ROWS, skewed_left_join
 from tallyguard.sources.files import file_order_id, read_csv, write_parquet
 from tallyguard.sources.synthetic import synthetic_tables
 
@@ -49,9 +49,9 @@ def join_identity(
     """Left join that keeps every transaction; clashing identity columns get ``_right``."""
     clashes = {c: f"{c}_right" for c in identity.columns if c != key and c in transactions.columns}
     spread = [c for c in transactions.columns if c != key] or [key]
-    return salted_left_join(
-        transactions, identity.withColumnsRenamed(clashes), key, spread, limit=hot_rows
-    ).select(*transactions.columns, *[clashes.get(c, c) for c in identity.columns if c != key])
+    right = identity.withColumnsRenamed(clashes)
+    right_spread = [c for c in right.columns if c != key] or [key]
+    return skewed_left_join(transactions, right, key, spread, right_spread, hot_rows).select(*transactions.columns, *[clashes.get(c, c) for c in identity.columns if c != key])
 
 
 def with_entity(df: DataFrame, name: str = "card_id", parts: Sequence[str] = ENTITY_PARTS) -> DataFrame:

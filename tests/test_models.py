@@ -4,7 +4,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 from tallyguard.models.classifiers import (
     BoostedTrees,
     CalibratedSvm,

@@ -11,7 +11,7 @@ from tallyguard.operators.ordering import (
     quantile_edges,
     running_totals,
 )
-from tallyguard.operators.skew import hot_keys, salted_left_join
+from tallyguard.operators.skew import hot_keys, salted_left_join, skewed_left_join
 
 
 def numbers(kind, n=4000, seed=7):
@@ -99,3 +99,19 @@ def test_salted_join_equals_plain_join(spark):
     assert sorted(map(repr, found.select("k", "v", "w").collect())) == sorted(
         map(repr, plain.select("k", "v", "w").collect())
     )
+
+
+@pytest.mark.parametrize("limit", [0, 30, 10**6])
+def test_hot_keys_on_either_side(spark, limit):
+    rng = random.Random(6)
+
+    def draw():
+        return rng.choice([1, 1, 2, None, rng.randrange(40)])
+
+    left = spark.createDataFrame([(draw(), i) for i in range(200)], "k long, v long")
+    right = spark.createDataFrame([(draw(), f"w{i}") for i in range(150)], "k long, w string")
+    found = skewed_left_join(left, right, "k", ["v"], ["w"], limit=limit, salts=5)
+    plain = left.join(right, "k", "left")
+    assert sorted(map(repr, found.select("k", "v", "w").collect())) == sorted(
+        map(repr, plain.select("k", "v", "w").collect())
+    )
