@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from tallyguard.llm.common import query, table
 from tallyguard.llm.decontaminate import mark_contamination
+from tallyguard.llm.jaccard import link_documents
 from tallyguard.llm.packing import pack_documents
+from tallyguard.llm.pii import replace_entities
 from tallyguard.llm.quality import score_quality
 from tallyguard.llm.simple8b import read_token_checksums, write_token_files
 from tallyguard.llm.tokens import count_tokens
@@ -53,6 +55,16 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(table(spark, folder, "documents").select("doc_id", "text"), path, limit=2048)
 
 
+#: A stand-in; users pass their own secret, which decides all surrogates.
+SURROGATE_KEY = b"not a secret: for tests"
+
+
+@query()
+def op5_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return replace_entities(documents, SURROGATE_KEY, counts=True)
+
+
 @query()
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -106,3 +118,34 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     files = write_token_files(table(spark, folder, "documents"), path, end_id=2)
     return read_token_checksums(spark, files)
+
+
+_SHINGLES = r"""
+    d AS (SELECT doc_id, regexp_extract_all({lower}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (
+      SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),""".format(
+    lower=_ASCII_LOWER.format("coalesce(text, '')")
+)
+
+
+@query(
+    f"""
+    WITH RECURSIVE {_SHINGLES}
+    both_in AS (
+      SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+      FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+    l AS (
+      SELECT a, b FROM both_in JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+      WHERE 100 * c >= 90 * (na.n + nb.n - c)),
+    e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    reach(doc_id, other) AS (
+      SELECT doc_id, doc_id FROM documents
+      UNION
+      SELECT reach.doc_id, e.b FROM reach JOIN e ON reach.other = e.a)
+    SELECT r.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(other) AS component_id
+    FROM reach r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id"""
+)
+def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return link_documents(table(spark, folder, "documents"), size=3, percent=90)
