@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 from functools import wraps
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyguard.session import shared_folder
 
@@ -49,13 +48,14 @@ def written(df: DataFrame, *partition: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def batches_of(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict(columns, schema=schema)
+#: Rows of keys that may be sent to every worker to pick rows by.
+SENT_KEYS = 1_000_000
 
 
-def columns_of(batch: pa.RecordBatch) -> Iterator:
-    """The batch as Python lists, one per column."""
-    return (column.to_pylist() for column in batch.columns)
+def sent_if_few(keys: DataFrame, most: int = SENT_KEYS) -> DataFrame:
+    """``keys`` as a written table, marked to be sent to all workers if it has few rows."""
+    keys = written(keys)
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
 
 
 def free_name(df: DataFrame, stem: str) -> str:

@@ -30,12 +30,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyguard.llm.common import written
+from tallyguard.llm.common import sent_if_few, written
 from tallyguard.llm.links import components
 
-#: Numbers in a set's profile, and keys that may be sent to every worker to pick rows by.
+#: Numbers in a set's profile.
 PROFILE = 128
-SENT_KEYS = 1_000_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -180,9 +179,7 @@ def _digests(df: DataFrame, size: int) -> DataFrame:
 
 def _picked(df: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     """Rows of ``df`` whose id is among ``keys`` (or not): sent to all workers if few."""
-    keys = written(keys.select("id").distinct())
-    few = keys.limit(SENT_KEYS + 1).count() <= SENT_KEYS
-    return df.join(F.broadcast(keys) if few else keys, "id", how)
+    return df.join(sent_if_few(keys.select("id").distinct()), "id", how)
 
 
 def _signature_lists(df: DataFrame, size: int, plans: list[Plan]) -> DataFrame:
@@ -335,3 +332,27 @@ def _open_pairs(stars: DataFrame, found: DataFrame, done: DataFrame) -> DataFram
         .distinct()
         .join(done, ["a", "b"], "left_anti")
     )
+
+
+def keep_first_of_groups(
+    df: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``df`` with one document of each component, that with the smallest key.
+
+    Rows that repeat a key are one document, of which the row with the smallest text stays.
+    Rows with a null key link with nothing and stay.
+    """
+    linked = link_documents(df, size, percent, key, text)
+    own = F.col(f"`{key}`")
+    others = linked.where(own != F.col("component_id")).select(own.alias("_k")).distinct()
+    others = sent_if_few(others)
+    kept = df.join(others, own == others["_k"], "left_anti")
+    often = df.where(own.isNotNull()).groupBy(own.alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    often = written(often.where("_n > 1").select("_k"))
+    if not often.limit(1).count():
+        return kept
+    place = free_name(df, "_place")
+    order = Window.partitionBy(own).orderBy(F.col(text))
+    repeated = kept.join(often, own == often["_k"], "left_semi")
+    first = repeated.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
+    return kept.join(often, own == often["_k"], "left_anti").unionByName(first)

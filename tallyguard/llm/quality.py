@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from tallyguard.llm.common import written
+from tallyguard.llm.common import free_name, sent_if_few, written
 
 #: Weight of an unlabelled document in the counts of its site.
 SOFT = 0.5
@@ -158,8 +158,10 @@ def score_quality(
     label: str = "quality",
     threshold: float = 0.5,
     soft: float = SOFT,
+    carried: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per document: key, host, path, own, host_rate, path_rate, posterior, keep.
+    """One row per document: key, host, path, own, host_rate, path_rate, posterior, keep, and
+    the ``carried`` columns of ``df``.
 
     A null host or path is the site ''. A document without words has no evidence of its own
     beyond the zeros of its measures. Repeated labels of a document are averaged, null labels
@@ -168,7 +170,7 @@ def score_quality(
     """
     site = lambda c: F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(""))
     measured = text_measures(
-        df.select(F.col(f"`{key}`").alias("key"), site(host).alias("host"), site(path).alias("path"), F.col(text).alias("text"))
+        df.select(F.col(f"`{key}`").alias("key"), site(host).alias("host"), site(path).alias("path"), F.col(text).alias("text"), *[F.col(c).alias(f"carried{i}") for i, c in enumerate(carried)])
     )
     truth = (
         labels.where(F.col(label).isNotNull())
@@ -208,5 +210,18 @@ def score_quality(
         .select(
             F.col("key").alias(key), "host", "path", "own", "host_rate", "path_rate", "posterior",
             (F.col("posterior") >= threshold).alias("keep"),
+            *[F.col(f"carried{i}").alias(c) for i, c in enumerate(carried)],
         )
     )
+
+
+def keep_quality(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """``df`` without the rows that :func:`score_quality` rejects."""
+    mark = free_name(df, "_digest")
+    marked = df.withColumn(mark, F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256))
+    scored = score_quality(marked, labels, key, text, carried=[mark], **settings)
+    rejected = sent_if_few(
+        scored.where("not keep").select(F.col(f"`{key}`").alias("_k"), F.col(mark).alias("_m")).distinct()
+    )
+    same = marked[key].eqNullSafe(rejected["_k"]) & (marked[mark] == rejected["_m"])
+    return marked.join(rejected, same, "left_anti").drop(mark)

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from tallyguard.llm.common import query, table
 from tallyguard.llm.decontaminate import mark_contamination
 from tallyguard.llm.jaccard import link_documents
+from tallyguard.llm.lm_scores import score_documents
 from tallyguard.llm.packing import pack_documents
 from tallyguard.llm.pii import replace_entities
 from tallyguard.llm.quality import score_quality
 from tallyguard.llm.simple8b import read_token_checksums, write_token_files
+from tallyguard.llm.suffix_dedup import count_repeats
 from tallyguard.llm.tokens import count_tokens
 from tallyguard.llm.topk import top_k
 
@@ -49,6 +51,11 @@ def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query()
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return count_repeats(table(spark, folder, "documents"), length=400)
+
+
 @query()
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -71,6 +78,13 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), path, end_id=1, capacity=2048)
 
 
+@query()
+def op7_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    scored = score_documents(table(spark, folder, "documents"), path)
+    return scored.withColumns({c: F.round(c, 6) for c in ("log_score", "mean_log_score")})
+
+
 @query(
     f"""
     WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
