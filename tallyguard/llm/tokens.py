@@ -1,11 +1,12 @@
 """Token counts and ids of whole texts, by a public tokenizer, in Arrow batches.
 
 A text is cut at safe boundaries: between a character that is no white space and one of the
-four plain white-space characters. No pre-token of the supported tokenizers crosses such a
-place, none of their special strings holds white space, and Unicode composition stops there;
-so the pieces' tokens, joined, are the text's tokens. Texts with any other white space are
-encoded whole. Pieces repeat a lot, so each worker keeps a bounded table of those it has seen
-and encodes the others in batches of about equal bytes.
+four plain white-space characters, and between a word of Latin letters and the ASCII sign or
+digit that follows it. No pre-token of the supported tokenizers crosses such a place, none of
+their special strings is cut by it, and Unicode composition stops there; so the pieces' tokens,
+joined, are the text's tokens. Texts with any other white space are encoded whole. Pieces
+repeat a lot, so each worker keeps a bounded table of those it has seen lately and encodes the
+others in batches of about equal bytes.
 """
 
 from __future__ import annotations
@@ -13,20 +14,22 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Iterator
+from struct import pack
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text per call of the tokenizer, and pieces kept by a worker.
-CALL_BYTES = 1 << 18
-KEPT_PIECES = 300_000
+#: Characters per call of the tokenizer, and pieces in each of a worker's two tables.
+CALL_SIZE = 1 << 18
+KEPT_PIECES = 350_000
 #: Characters of a piece that is worth keeping.
 KEPT_LENGTH = 64
 
 _ODD_SPACE = re.compile(r"[^\S \n\t\r]")
-_PIECES = re.compile(r"\s*\S+|\s+").findall
+_PIECES = re.compile(
+    r"\s*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[^A-Za-z\x80-\U0010ffff]|\Z)|\s*\S+|\s+"
+).findall
 
 
 def pieces_of(text: str) -> list[str]:
@@ -43,6 +46,7 @@ class PieceTable:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.value = value
         self.known: dict[str, object] = {}
+        self.old: dict[str, object] = {}
         self.sentences = path.endswith(".model")
         if self.sentences:
             import sentencepiece
@@ -64,30 +68,30 @@ class PieceTable:
         # White space is part of a sentence model's pieces, so its texts stay whole.
         return [text] if self.sentences else pieces_of(text)
 
-    def of(self, pieces: list[list[str]]) -> list[list]:
-        """For each text's pieces, their values in order."""
-        known = self.known
-        if len(known) > KEPT_PIECES:
-            known.clear()
-        new = list({p for text in pieces for p in text if p not in known})
-        long = {}
-        start = size = 0
-        for i, piece in enumerate(new):
+    def learn(self, pieces: list[list[str]]) -> dict:
+        """A table with all these pieces: the latest one, to which they are added."""
+        if len(self.known) > KEPT_PIECES:
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
+        new = set().union(*pieces).difference(known)
+        for piece in new.intersection(old):
+            known[piece] = old[piece]
+        fresh = list(new.difference(old))
+        once, start, size = {}, 0, 0
+        for i, piece in enumerate(fresh):
             size += len(piece)
-            if size >= CALL_BYTES or i + 1 == len(new):
-                for p, ids in zip(new[start : i + 1], self._ids(new[start : i + 1])):
-                    (known if len(p) <= KEPT_LENGTH else long)[p] = self.value(ids)
+            if size >= CALL_SIZE or i + 1 == len(fresh):
+                for p, ids in zip(fresh[start : i + 1], self._ids(fresh[start : i + 1])):
+                    (known if len(p) <= KEPT_LENGTH else once)[p] = self.value(ids)
                 start, size = i + 1, 0
-        if not long:
-            return [[known[p] for p in text] for text in pieces]
-        return [[known[p] if p in known else long[p] for p in text] for text in pieces]
+        return {**known, **once} if once else known
 
 
 _TABLES: dict[tuple, PieceTable] = {}
 
 
 def _as_bytes(ids: list[int]) -> bytes:
-    return np.asarray(ids, dtype="<u4").tobytes()
+    return pack(f"<{len(ids)}I", *ids)
 
 
 def _table(path: str, value: Callable) -> PieceTable:
@@ -112,18 +116,22 @@ def balanced(texts: list, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
 
 def token_counts(texts: list, path: str) -> list[int]:
     """The number of tokens of each text; null has none."""
-    known = _table(path, len)
+    pieces = _table(path, len)
     counts: list[int] = []
     for a, b in balanced(texts):
-        counts += map(sum, known.of([known.cut(t) if t else [] for t in texts[a:b]]))
+        cut = [pieces.cut(t) if t else [] for t in texts[a:b]]
+        known = pieces.learn(cut).__getitem__
+        counts += [sum(map(known, c)) for c in cut]
     return counts
 
 
 def token_bytes(texts: list, path: str) -> Iterator[bytes]:
     """The ids of each text as little-endian unsigned 32-bit integers; null has none."""
-    known = _table(path, _as_bytes)
+    pieces = _table(path, _as_bytes)
     for a, b in balanced(texts):
-        yield from map(b"".join, known.of([known.cut(t) if t else [] for t in texts[a:b]]))
+        cut = [pieces.cut(t) if t else [] for t in texts[a:b]]
+        known = pieces.learn(cut).__getitem__
+        yield from [b"".join(map(known, c)) for c in cut]
 
 
 def count_tokens(
