@@ -47,17 +47,19 @@ def with_cyclical(df: DataFrame, time: str) -> DataFrame:
 
 def plain_number(column: str, dtype: T.DataType) -> Column:
     """Text of a number without exponent: 150.0 prints as ``150.0``, also beyond 1e7."""
-    c = F.col(column)
+    text = F.col(column).cast("string")
     if not isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return c.cast("string")
-    whole = (F.abs(c) < 1e15) & (c == F.floor(c))
-    exponent = (F.abs(c) >= 1e7) | ((F.abs(c) < 1e-3) & (c != 0))
-    decimal = F.rtrim(c.cast("decimal(38,12)").cast("string"), F.lit("0"))
-    return (
-        F.when(whole, F.concat(c.cast("long").cast("string"), F.lit(".0")))
-        .when(exponent & (F.abs(c) < 1e15), decimal)
-        .otherwise(c.cast("string"))
-    )
+        return text
+    # The shortest digits that read back as the same number, moved by the exponent.
+    part = lambda i: F.regexp_extract(text, r"^(-?)([0-9])\.([0-9]+)E(-?[0-9]+)$", i)
+    power = part(4).cast("int")
+    tail = F.when(part(3) == "0", F.lit("")).otherwise(part(3))
+    small = F.concat(part(1), F.lit("0."), F.repeat(F.lit("0"), -power - 1), part(2), tail)
+    longer = F.length(tail) > power
+    whole = F.rpad(F.concat(part(2), tail), power + 1, "0")
+    rest = F.when(longer, F.substring(tail, power + 1, F.length(tail))).otherwise(F.lit("0"))
+    large = F.concat(part(1), whole, F.lit("."), rest)
+    return F.when(part(4) == "", text).when(power < 0, small).otherwise(large)
 
 
 def entity_key(df: DataFrame, parts: list[str]) -> Column:

@@ -18,7 +18,7 @@ from tallyguard.functions.expressions import (
     predicted,
     sigmoid,
 )
-from tallyguard.operators.ordering import many_value_edges, running_totals
+from tallyguard.operators.ordering import quantile_edges, running_totals
 from tallyguard.session import partition_target
 
 # Default costs (missed, false alarm), sweep grids in hundredths, and the
@@ -43,8 +43,8 @@ def ranked_scores(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> Data
 
     ``cum_pos`` and ``cum_n`` count rows with a score at least this high.
     """
-    pieces = partition_target(df.sparkSession)
-    edges = many_value_edges(df, p, pieces)
+    pieces = partition_target(df.sparkSession, df.count())
+    edges = quantile_edges(df, p, pieces)
     return running_totals(score_counts(df, y, p, by), "p", ["pos", "n"], by, True, edges)
 
 

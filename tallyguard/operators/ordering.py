@@ -7,6 +7,7 @@ are exact whatever the edges are.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -214,7 +215,11 @@ def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | No
 
 
 def quantile_edges(df: DataFrame, column: str, pieces: int) -> list[float]:
-    """Distinct inner edges that cut ``column`` into about ``pieces`` equal shares."""
+    """Distinct inner edges that cut ``column`` into about ``pieces`` equal shares.
+
+    A value that is the quantile of several shares gets a range of its own, which ends just
+    above it, so that neighbours do not share the range of a hot value.
+    """
     if pieces < 2:
         return []
     shares = [i / pieces for i in range(1, pieces)]
@@ -222,26 +227,21 @@ def quantile_edges(df: DataFrame, column: str, pieces: int) -> list[float]:
     found = df.agg(
         F.percentile_approx(F.when(~F.isnan(value), value), shares, max(10_000, 20 * pieces))
     ).first()[0]
-    return sorted(set(found)) if found else []
-
-
-def many_value_edges(df: DataFrame, column: str, pieces: int, few: int = 50_000) -> list[float]:
-    """Edges as in ``quantile_edges``, or none when the column has few distinct values."""
-    value = F.col(column).cast("double")
-    kept = F.when(~F.isnan(value), value)
-    shares = [i / pieces for i in range(1, pieces)]
-    sketch = F.percentile_approx(kept, shares, max(10_000, 20 * pieces))
-    distinct, found = df.agg(F.approx_count_distinct(kept, 0.02), sketch).first()
-    return sorted(set(found)) if found and distinct > few else []
+    found = found or []
+    hot = {a for a, b in zip(found, found[1:]) if a == b}
+    above = {math.nextafter(v, math.inf) for v in hot} - {math.inf}
+    return sorted({*found, *above})
 
 
 def with_bucket(df: DataFrame, column: str, edges: Sequence[float], name: str) -> DataFrame:
-    """Number of the range a value falls in; monotone in ``column``. Nulls get a last bucket."""
+    """Number of the range a value falls in; monotone in ``column``. NaN gets a bucket behind
+    all values, null one behind that."""
+    null = F.lit(len(edges) + 2)
     if not edges:
-        return df.withColumn(name, F.lit(0))
+        return df.withColumn(name, F.when(F.col(column).isNull(), null).otherwise(F.lit(0)))
     splits = [float("-inf"), *edges, float("inf")]
     cut = Bucketizer(splits=splits, inputCol=column, outputCol=name, handleInvalid="keep")
-    return cut.transform(df).withColumn(name, F.col(name).cast("int"))
+    return cut.transform(df).withColumn(name, F.coalesce(F.col(name).cast("int"), null))
 
 
 def global_row_number(
@@ -249,10 +249,10 @@ def global_row_number(
 ) -> DataFrame:
     """Exact position of each row (from 1) in (time, tie) order over the whole table.
 
-    Rows are cut into ranges of ``time``. A single time value that fills more than two shares is
+    Rows with a null time come last, in the order of ``tie``. Rows are cut into ranges of ``time``. A single time value that fills more than two shares is
     cut again on ``tie``. One shuffle on the range number, a local sort, and an offset per range.
     """
-    pieces = pieces or partition_target(df.sparkSession)
+    pieces = pieces or partition_target(df.sparkSession, df.count())
     ranged = with_bucket(df, time, quantile_edges(df, time, pieces), "_range")
     heavy = _single_value_ranges(ranged, time, pieces)
     if heavy:

@@ -13,14 +13,13 @@ from pyspark.sql import types as T
 from tallyguard.functions.expressions import CYCLICAL, nan_as_null, with_cyclical
 from tallyguard.operators.correlation import redundant_columns
 from tallyguard.operators.ordering import exact_medians
-from tallyguard.operators.skew import salted_left_join
-from tallyguard.session import durable
+from tallyguard.operators.skew import HOT_ROWS, salted_left_join
+from tallyguard.session import durable, partition_target
 
 # Fixed value: the category of a missing text.
 MISSING = "MISSING"
 
 INLINE_CATEGORIES = 256
-RANK_PIECES = 256
 
 
 @dataclass
@@ -142,20 +141,17 @@ def _fit_categories(rows: DataFrame, state: FeatureState, inline: int) -> None:
 def _ranked_categories(distinct: DataFrame) -> DataFrame:
     """Exact rank of every category without sorting them all in one task.
 
-    Range edges come from a hash-chosen part of the categories and only balance the work.
+    Spark cuts the categories into ranges, as many as their number asks for; the durable copy
+    keeps each range's number with its rows.
     """
-    total = distinct.count()
-    every = max(1, total // 10_000)
-    picked = distinct.where(F.pmod(F.xxhash64("category"), F.lit(every)) == 0).select("category")
-    sample = sorted(r[0] for r in picked.limit(40_000).collect())
-    step = max(1, len(sample) // RANK_PIECES)
-    edges = sample[step::step]
-    below = F.array(*[F.lit(e) for e in edges]) if edges else F.array().cast("array<string>")
-    ranged = distinct.select(
-        "category", "count", F.size(F.filter(below, lambda e: e <= F.col("category"))).alias("piece")
+    pieces = partition_target(distinct.sparkSession, distinct.count())
+    ranged = durable(
+        distinct.repartitionByRange(pieces, "category").select(
+            "category", "count", F.spark_partition_id().alias("piece")
+        )
     )
     sizes = ranged.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
-    # At most RANK_PIECES + a few rows.
+    # One row per range.
     before = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
     inside = Window.partitionBy("piece").orderBy("category")
@@ -195,10 +191,10 @@ def transform_features(df: DataFrame, state: FeatureState) -> DataFrame:
     return rows.select(*meta, *scaled, *coded)
 
 
-def _hot_categories(state: FeatureState, column: str) -> list:
-    """Categories common in training, salted when a dictionary is joined."""
-    top = state.dictionaries[column].orderBy(F.col("count").desc()).limit(64)
-    return [r["category"] for r in top.select("category").collect()]
+def _hot_categories(state: FeatureState, column: str, limit: int = HOT_ROWS) -> DataFrame:
+    """Categories with many rows in training, cut into parts when a dictionary is joined."""
+    hot = state.dictionaries[column].where(F.col("count") > limit)
+    return hot.select(F.col("category").alias(f"_key_{column}"), F.col("count").alias("n"))
 
 
 def save_features(state: FeatureState, spark: SparkSession, path: str) -> None:

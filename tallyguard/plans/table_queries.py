@@ -278,6 +278,7 @@ def metadata_and_target(spark, folder):
 
 
 DOCUMENT_ROLES = {
+    "text": "categorical",
     "lang": "categorical",
     "source": "categorical",
     "n_chars": "numeric",
@@ -297,7 +298,7 @@ DOCUMENT_ROLES = {
 def column_roles(spark, folder):
     """Numeric and categorical columns by type (a boolean counts as numeric) and how full they are."""
     docs = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
-    rows = docs.withColumn("long_text", F.col("n_chars") > 1000).drop("text")
+    rows = docs.withColumn("long_text", F.col("n_chars") > 1000)
     numeric, categorical = column_kinds(rows, ["doc_id"])
     kinds = dict.fromkeys(numeric, "numeric") | dict.fromkeys(categorical, "categorical")
     cells = F.array(

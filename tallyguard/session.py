@@ -47,6 +47,12 @@ def durable(df):
     return df.checkpoint(eager=True)
 
 
-def partition_target(spark: SparkSession, low: int = 8, high: int = 4096) -> int:
-    """How many ranges to cut sorted data into: the shuffle width, within bounds."""
-    return max(low, min(high, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
+#: Rows of a range that one task sorts.
+RANGE_ROWS = 2_000_000
+
+
+def partition_target(spark: SparkSession, rows: int, low: int = 8) -> int:
+    """How many ranges to cut ``rows`` sorted rows into: the shuffle width, or more if a range
+    would hold over RANGE_ROWS rows."""
+    width = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(low, width, -(-rows // RANGE_ROWS))

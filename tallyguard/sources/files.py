@@ -11,10 +11,6 @@ from pyspark.sql import types as T
 from tallyguard.session import durable
 
 
-# Largest block list that is broadcast: about 150 MB, the blocks of some 60 TB.
-BROADCAST_BLOCKS = 500_000
-
-
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """CSV with a header row, read against an explicit schema."""
     return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
@@ -34,15 +30,19 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
 
 
 def write_predictions(df: DataFrame, path: str, model: str = "model") -> None:
-    """Scores of one or more models, one folder per model so that readers prune."""
-    write_parquet(df, path, [model])
+    """Scores of one or more models, one folder per model so that readers prune.
+
+    Only the folders of the models in ``df`` are replaced; other models' predictions stay.
+    """
+    writer = df.write.mode("overwrite").option("compression", "zstd")
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy(model).parquet(path)
 
 
 # Suffixes under which a model's predictions may have been stored.
 MODEL_SUFFIXES = ("", "_Baseline", "_Sequence")
 
 
-def read_predictions(spark: SparkSession, path: str, model: str) -> DataFrame:
+def read_predictions(spark: SparkSession, path: str, model: str, column: str = "model") -> DataFrame:
     """Predictions of one model; the plain name wins over its suffixed forms.
 
     Only the model folders are listed to choose the name, the rows are pruned by partition.
@@ -53,19 +53,20 @@ def read_predictions(spark: SparkSession, path: str, model: str) -> DataFrame:
     wanted = list(dict.fromkeys([model, base, *[base + s for s in MODEL_SUFFIXES[1:]]]))
     stored = spark.read.parquet(path)
     present = {
-        r["model"] for r in stored.where(F.col("model").isin(wanted)).select("model").distinct().collect()
+        r[0] for r in stored.where(F.col(column).isin(wanted)).select(column).distinct().collect()
     }
     for name in wanted:
         if name in present:
-            return stored.where(F.col("model") == name)
+            return stored.where(F.col(column) == name)
     raise FileNotFoundError(f"no predictions of {model} under {path}")
 
 
 def file_order_id(df: DataFrame, name: str) -> DataFrame:
     """Dense zero-based id in file order for a frame read straight from files.
 
-    A row is placed by its file, its block and its place inside the block. Only one row per
-    block is aggregated, so the data is not shuffled.
+    A row is placed by its file, its block and its place inside the block. The placed rows are
+    made durable before blocks are counted, so that ids do not depend on a second scan being cut
+    like the first. Only one row per block is aggregated, so the data is not shuffled.
     """
     block = ["_path", "_start"]
     placed = df.select(
@@ -74,16 +75,16 @@ def file_order_id(df: DataFrame, name: str) -> DataFrame:
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_seen"),
     )
+    placed = durable(placed)
     blocks = placed.groupBy(*block).agg(F.count(F.lit(1)).alias("_rows"), F.min("_seen").alias("_first"))
     # One row per input block: an unpartitioned window over the block list is small.
     before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
     offsets = durable(
         blocks.select(*block, "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_off"))
     )
-    if offsets.count() <= BROADCAST_BLOCKS:
-        offsets = F.broadcast(offsets)
+    # Adaptive execution sends the block list to all workers where its measured size allows.
     return (
-        placed.join(offsets, block)
+        placed.join(offsets, block, "left")
         .withColumn(name, (F.col("_off") + F.col("_seen") - F.col("_first")).cast("long"))
         .drop(*block, "_seen", "_first", "_off")
     )

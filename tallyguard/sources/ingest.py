@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyguard.functions.expressions import entity_key
-from tallyguard.operators.skew import HOT_ROWS, skewed_left_join
+from tallyguard.operators.skew import skewed_left_join
 from tallyguard.sources.files import file_order_id, read_csv, write_parquet
 from tallyguard.sources.synthetic import synthetic_tables
 
@@ -44,14 +44,24 @@ def downcast(df: DataFrame) -> DataFrame:
 
 
 def join_identity(
-    transactions: DataFrame, identity: DataFrame, key: str = "TransactionID", hot_rows: int = HOT_ROWS
+    transactions: DataFrame, identity: DataFrame, key: str = "TransactionID", hot_rows: int | None = None
 ) -> DataFrame:
-    """Left join that keeps every transaction; clashing identity columns get ``_right``."""
+    """Left join that keeps every transaction; clashing identity columns get ``_right``.
+
+    The key is near unique, so by default nothing is counted and adaptive execution splits a
+    crowded partition. With ``hot_rows`` keys above that many rows on either side are counted
+    and cut beforehand.
+    """
     clashes = {c: f"{c}_right" for c in identity.columns if c != key and c in transactions.columns}
     spread = [c for c in transactions.columns if c != key] or [key]
     right = identity.withColumnsRenamed(clashes)
     right_spread = [c for c in right.columns if c != key] or [key]
-    return skewed_left_join(transactions, right, key, spread, right_spread, hot_rows).select(*transactions.columns, *[clashes.get(c, c) for c in identity.columns if c != key])
+    if hot_rows is None:
+        joined = transactions.join(right, key, "left")
+    else:
+        joined = skewed_left_join(transactions, right, key, spread, right_spread, hot_rows)
+    added = [clashes.get(c, c) for c in identity.columns if c != key]
+    return joined.select(*transactions.columns, *added)
 
 
 def with_entity(df: DataFrame, name: str = "card_id", parts: Sequence[str] = ENTITY_PARTS) -> DataFrame:
@@ -121,6 +131,7 @@ def run_ingestion(
     identity_csv: tuple[str, T.StructType | str] | None = None,
     ledger_csv: tuple[str, T.StructType | str] | None = None,
     synthetic_rows: int = 60_000,
+    seconds_per_step: int = 1,
 ) -> DataFrame:
     """The first source that exists wins: transactions, then ledger, else generated rows."""
     if transaction_csv and _exists(spark, transaction_csv[0]):
@@ -129,7 +140,7 @@ def run_ingestion(
             identity = read_csv(spark, *identity_csv)
         return ingest_transactions(read_csv(spark, *transaction_csv), identity, out)
     if ledger_csv and _exists(spark, ledger_csv[0]):
-        return ingest_ledger(read_csv(spark, *ledger_csv), out)
+        return ingest_ledger(read_csv(spark, *ledger_csv), out, seconds_per_step)
     entities = max(500, synthetic_rows // 20)
     transactions, identity = synthetic_tables(spark, synthetic_rows, entities)
     return ingest_transactions(transactions, identity, out)

@@ -20,22 +20,23 @@ PARTS = ["card1", "card2", "card3", "card4", "addr1", "D1"]
 
 def test_entity_key_text(spark):
     df = spark.createDataFrame(
-        [
-            (1000, None, 150.0, None, None, 14.0),
-            (None, 200.0, None, "mastercard", 300.0, None),
-            (2000, None, 150.0, None, None, None),
-        ],
+        [(None,) * 6, (73, 0.5, -2.0, "", 41.25, 6.0), (-5, None, 8.5, "x_y", None, 0.0)],
         "card1 int, card2 double, card3 double, card4 string, addr1 double, D1 double",
     )
     keys = [r[0] for r in df.select(entity_key(df, PARTS)).collect()]
-    assert keys[0] == "1000_0.0_150.0_UNK_0.0_14.0"
-    assert keys[1] == "0_200.0_0.0_mastercard_300.0_0.0"
-    assert None not in keys
+    assert keys == ["0_0.0_0.0_UNK_0.0_0.0", "73_0.5_-2.0__41.25_6.0", "-5_0.0_8.5_x_y_0.0_0.0"]
 
 
 def test_entity_key_has_no_exponents(spark):
-    df = spark.createDataFrame([(1e7, 12345678.5, 0.0001)], "a double, b double, c double")
-    assert df.select(entity_key(df, ["a", "b", "c"])).first()[0] == "10000000.0_12345678.5_0.0001"
+    numbers = [1e7, 12345678.5, 1e-4, 1e-13, 2e-13, 1.23456789e-7, -4.5e-9, 1e15, 123456789012345680000.0, 9.5e20, -1e16, 0.1, 5e-324, 1.7976931348623157e308]
+    df = spark.createDataFrame([(x,) for x in numbers], "a double")
+    found = [r[0] for r in df.select(entity_key(df, ["a"])).collect()]
+    assert not any("E" in text for text in found) and len(set(found)) == len(numbers)
+    assert [float(text) for text in found] == numbers
+    assert found[:5] == ["10000000.0", "12345678.5", "0.0001", "0.0000000000001", "0.0000000000002"]
+    assert found[7:9] == ["1000000000000000.0", "123456789012345680000.0"]
+    single = spark.createDataFrame([(float("nan"),), (1e-5,), (3e9,)], "a float")
+    assert [r[0] for r in single.select(entity_key(single, ["a"])).collect()] == ["NaN", "0.00001", "3000000000.0"]
 
 
 def test_cyclical_range(spark):
@@ -48,32 +49,34 @@ def test_cyclical_range(spark):
 
 
 def sample(spark):
+    """Rows every 50 minutes; ``copy`` follows ``level`` up to a small wobble."""
     rows = []
-    for i in range(200):
-        hour = math.sin(2 * math.pi * (i % 24) / 24)
-        kind = ["alpha", "beta", None][i % 3]
-        rows.append((i, i * 3600, f"c{i % 7}", 0, kind, hour * 3 + 1, float(i * i % 17), None, i % 2 == 0))
-    schema = "TransactionID long, TransactionDT long, card_id string, isFraud int, cat_col string, collinear double, other double, hollow double, flag boolean"
-    return spark.createDataFrame(rows, schema)
+    for i in range(170):
+        level = float((i * 29) % 83)
+        shop = ["kiosk", None, "web", "web"][i % 4]
+        rows.append((i, i * 3000, f"e{i % 11}", i % 9 == 0, shop, level, 5 - 2 * level + i % 2, None, i % 5 < 2))
+    schema = "TransactionID long, TransactionDT long, card_id string, isFraud boolean, shop string, level double, copy double, hollow double, flag boolean"
+    return spark.createDataFrame(rows, schema).withColumn("isFraud", F.col("isFraud").cast("int"))
 
 
 def test_fit_on_train_only(spark):
     train = sample(spark)
-    state = fit_features(train, correlation_threshold=0.85)
+    state = fit_features(train, correlation_threshold=0.95)
     assert state.all_null == ["hollow"]
+    assert "level" in state.numeric and "copy" not in state.numeric
     assert state.numeric[-4:] == ["hour_sin", "hour_cos", "day_sin", "day_cos"]
-    assert state.feature_names[-1] == "cat_cat_col" and "num_flag" in state.feature_names
-    later = train.limit(10).withColumn("cat_col", F.lit("unknown_gamma")).withColumn("other", F.lit(None).cast("double"))
+    assert state.feature_names[-1] == "cat_shop" and "num_flag" in state.feature_names
+    later = train.limit(10).withColumn("shop", F.lit("by post")).withColumn("level", F.lit(None).cast("double"))
     found = transform_features(later, state).collect()
-    assert {r["cat_cat_col"] for r in found} == {0.0}
-    median = (state.medians["other"] - state.means["other"]) / state.scales["other"]
-    assert all(r["num_other"] == pytest.approx(median) for r in found)
+    assert {r["cat_shop"] for r in found} == {0.0}
+    median = (state.medians["level"] - state.means["level"]) / state.scales["level"]
+    assert all(r["num_level"] == pytest.approx(median) for r in found)
     known = transform_features(train, state)
-    stats = known.agg(F.avg("num_other"), F.stddev_pop("num_other"), F.min("cat_cat_col")).first()
+    stats = known.agg(F.avg("num_level"), F.stddev_pop("num_level"), F.min("cat_shop")).first()
     assert stats[0] == pytest.approx(0, abs=1e-9) and stats[1] == pytest.approx(1) and stats[2] > 0
-    # MISSING, alpha, beta in sorted order: upper case first.
-    codes = {r["cat_col"]: r["c"] for r in known.join(train.select("TransactionID", "cat_col"), "TransactionID").select("cat_col", F.col("cat_cat_col").alias("c")).distinct().collect()}
-    assert codes == {None: 0.25, "alpha": 0.5, "beta": 0.75}
+    # MISSING, kiosk, web in sorted order: upper case first.
+    codes = known.join(train.select("TransactionID", "shop"), "TransactionID").select("shop", "cat_shop").distinct()
+    assert {r["shop"]: r["cat_shop"] for r in codes.collect()} == {None: 0.25, "kiosk": 0.5, "web": 0.75}
 
 
 def test_nan_counts_as_missing(spark):

@@ -13,7 +13,8 @@ def frame(spark, y, p):
     return spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, p)], "y int, p double")
 
 
-SEPARABLE = ([1, 1] + [0] * 8, [0.9, 0.8, 0.1, 0.2, 0.05, 0.15, 0.3, 0.1, 0.25, 0.05])
+# Three positives above every negative, the gap from 0.44 to 0.62; two negatives share a score.
+SEPARABLE = ([0, 1, 0, 0, 1, 0, 1], [0.12, 0.97, 0.44, 0.03, 0.62, 0.12, 0.71])
 
 
 def test_separable_scores(spark):
@@ -22,14 +23,14 @@ def test_separable_scores(spark):
     assert record["fraud_f1"] == 1.0 and record["recall_at_95_precision"] == 1.0
     assert record["brier_score"] < 0.1
     # The lowest threshold that separates wins the tie.
-    assert record["optimal_threshold"] == 0.31
+    assert record["optimal_threshold"] == 0.45
 
 
-def test_cost_of_four_rows(spark):
-    rows = frame(spark, [1, 1, 0, 0], [0.9, 0.1, 0.8, 0.1])
-    found = metrics.financial_loss(rows, "y", "p", 0.5, fn_cost=500.0, fp_cost=25.0).first()
-    assert [found[c] for c in ("tp", "fn", "fp", "tn")] == [1, 1, 1, 1]
-    assert found["total_financial_loss"] == 525.0 and found["cost_per_transaction"] == 131.25
+def test_cost_of_unequal_cells(spark):
+    rows = frame(spark, [1, 1, 1, 0, 0, 0, 0, 0], [0.7, 0.2, 0.3, 0.7, 0.6, 0.6, 0.1, 0.4])
+    found = metrics.financial_loss(rows, "y", "p", 0.6, fn_cost=80.0, fp_cost=3.0).first()
+    assert [found[c] for c in ("tp", "fn", "fp", "tn")] == [1, 2, 3, 2]
+    assert found["total_financial_loss"] == 169.0 and found["cost_per_transaction"] == 169.0 / 8
 
 
 @pytest.mark.parametrize("label", [0, 1])
@@ -81,10 +82,8 @@ def test_areas_equal_brute_force(spark, digits, monkeypatch):
         return [found[c] for c in ("pr_auc", "roc_auc", "recall_at_95_precision")]
 
     assert areas() == pytest.approx(expected)
-    # The same through score ranges, as used for many distinct scores.
-    from tallyguard.operators.ordering import quantile_edges
-
-    monkeypatch.setattr(metrics, "many_value_edges", lambda df, c, n: quantile_edges(df, c, n))
+    # The same with a single score range.
+    monkeypatch.setattr(metrics, "quantile_edges", lambda df, c, n: [])
     assert areas() == pytest.approx(expected)
 
 
@@ -100,7 +99,7 @@ def test_sweep_puts_scores_on_the_right_side(spark):
 def test_cost_criterion(spark):
     rows = frame(spark, *SEPARABLE)
     found = metrics.best_threshold(rows, "y", "p", criterion="cost").first()
-    assert (found["threshold"], found["score"]) == (0.31, 0.0)
+    assert (found["threshold"], found["score"]) == (0.45, 0.0)
     with pytest.raises(ValueError):
         metrics.best_threshold(rows, "y", "p", criterion="gain")
 
@@ -109,7 +108,7 @@ def test_cost_curve_has_97_points(spark):
     curve = metrics.cost_curve(frame(spark, *SEPARABLE), "y", "p")
     rows = curve.collect()
     assert len(rows) == 97 and min(r["total_cost"] for r in rows) >= 0
-    assert metrics.cheapest_threshold(curve).first()["threshold"] == 0.31
+    assert metrics.cheapest_threshold(curve).first()["threshold"] == 0.45
 
 
 def test_calibration_edges(spark):
@@ -121,7 +120,7 @@ def test_calibration_edges(spark):
 def test_curve_end_points(spark):
     rows = frame(spark, *SEPARABLE)
     pr = metrics.pr_curve(rows, "y", "p").collect()
-    assert len(pr) == 9 and any(r["precision"] == 1.0 and r["recall"] == 0.0 for r in pr)
+    assert len(pr) == 7 and any(r["precision"] == 1.0 and r["recall"] == 0.0 for r in pr)
     roc = metrics.roc_curve(rows, "y", "p").collect()
     assert any(r["fpr"] == 0.0 and r["tpr"] == 0.0 for r in roc)
     assert any(r["fpr"] == 1.0 and r["tpr"] == 1.0 for r in roc)
@@ -129,15 +128,15 @@ def test_curve_end_points(spark):
 
 def test_losses_stay_finite(spark):
     rows = spark.createDataFrame(
-        [(-100.0, 0.0), (100.0, 1.0), (0.0, 1.0), (-50.0, 1.0), (50.0, 0.0)], "x double, y double"
+        [(-700.0, 0.0), (90.0, 1.0), (0.0, 1.0), (-30.0, 1.0), (20.0, 0.0), (640.0, 1.0)], "x double, y double"
     )
     value = loss_column("focal", F.col("x"), F.col("y"))
     total, mean, low = rows.agg(F.sum(value), F.avg(value), F.min(value)).first()
-    assert math.isfinite(total) and low >= 0 and total == pytest.approx(5 * mean)
+    assert math.isfinite(total) and low >= 0 and total == pytest.approx(6 * mean)
     plain = rows.agg(F.sum(loss_column("anything", F.col("x"), F.col("y")))).first()[0]
-    assert plain == pytest.approx(math.log(2) + 100.0)
+    assert plain == pytest.approx(math.log(2) + 50.0)
     weighted = rows.agg(F.sum(loss_column("weighted_bce", F.col("x"), F.col("y")))).first()[0]
-    assert weighted == pytest.approx(27.5 * (math.log(2) + 50) + 50)
+    assert weighted == pytest.approx(27.5 * (math.log(2) + 30) + 20)
 
 
 def test_nan_logits_give_fallbacks(spark):

@@ -11,7 +11,7 @@ from tallyguard.operators.ordering import (
     quantile_edges,
     running_totals,
 )
-from tallyguard.operators.skew import hot_keys, salted_left_join, skewed_left_join
+from tallyguard.operators.skew import hot_counts, salted_left_join, skewed_left_join
 
 
 def numbers(kind, n=4000, seed=7):
@@ -93,8 +93,8 @@ def test_salted_join_equals_plain_join(spark):
         [(1 if i % 3 else None if i % 2 else i, i) for i in range(300)], "k long, v long"
     )
     right = spark.createDataFrame([(1, "a"), (1, "b"), (6, "c"), (None, "n")], "k long, w string")
-    assert hot_keys(left, "k", 50) == [1]
-    found = salted_left_join(left, right, "k", ["v"], limit=50, salts=7)
+    assert [r["k"] for r in hot_counts(left, "k", 50).collect()] == [1]
+    found = salted_left_join(left, right, "k", ["v"], limit=50)
     plain = left.join(right, "k", "left")
     assert sorted(map(repr, found.select("k", "v", "w").collect())) == sorted(
         map(repr, plain.select("k", "v", "w").collect())
@@ -110,8 +110,43 @@ def test_hot_keys_on_either_side(spark, limit):
 
     left = spark.createDataFrame([(draw(), i) for i in range(200)], "k long, v long")
     right = spark.createDataFrame([(draw(), f"w{i}") for i in range(150)], "k long, w string")
-    found = skewed_left_join(left, right, "k", ["v"], ["w"], limit=limit, salts=5)
+    found = skewed_left_join(left, right, "k", ["v"], ["w"], limit=limit)
     plain = left.join(right, "k", "left")
     assert sorted(map(repr, found.select("k", "v", "w").collect())) == sorted(
         map(repr, plain.select("k", "v", "w").collect())
     )
+
+
+def test_more_hot_keys_than_any_list_holds(spark):
+    # Every one of 6,000 keys is hot on both sides, one of them a hundred times over.
+    left = spark.range(18_000).selectExpr("id % 6000 AS k", "id AS v").unionByName(
+        spark.range(300).selectExpr("7L AS k", "id + 50000 AS v")
+    )
+    right = spark.range(12_000).selectExpr("id % 6000 AS k", "id AS w")
+    assert hot_counts(left, "k", 2).count() == 6000
+    found = skewed_left_join(left, right, "k", ["v"], ["w"], limit=1)
+    assert found.count() == 36_000 + 600
+    assert found.exceptAll(left.join(right, "k", "left")).count() == 0
+
+
+def test_a_hot_second_has_ranges_of_its_own(spark):
+    from tallyguard.operators.ordering import quantile_edges, with_bucket
+
+    rows = spark.range(40_000).selectExpr("if(id % 2 = 0, 500L, id % 2000) AS t", "id")
+    edges = quantile_edges(rows, "t", 16)
+    shape = with_bucket(rows, "t", edges, "b").groupBy("b").agg(
+        F.count("*").alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi")
+    )
+    large = [r for r in shape.collect() if r["n"] > 2 * 40_000 / 16]
+    assert [(r["lo"], r["hi"]) for r in large] == [(500, 500)]
+    numbered = global_row_number(rows, "t", "id", pieces=16)
+    expected = sorted((r["t"], r["id"]) for r in rows.collect())
+    assert [(r["t"], r["id"]) for r in sorted(numbered.collect(), key=lambda r: r["row_number"])] == expected
+
+
+@pytest.mark.parametrize("pieces", [1, 8])
+def test_rows_without_time_are_numbered_last(spark, pieces):
+    rows = spark.range(1000).selectExpr("if(id % 10 = 0, null, id * 7 % 90) AS t", "id")
+    found = global_row_number(rows, "t", "id", pieces=pieces).collect()
+    order = sorted(found, key=lambda r: (r["t"] is None, r["t"] or 0, r["id"]))
+    assert [r["row_number"] for r in order] == list(range(1, 1001))

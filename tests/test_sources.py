@@ -43,6 +43,25 @@ def test_ledger_ids_follow_file_order(spark, tmp_path):
         ingest.ingest_ledger(read.drop("isFraud"))
 
 
+def test_ids_do_not_depend_on_how_scans_are_cut(spark, tmp_path):
+    for part in range(2):
+        spark.range(part * 3000, part * 3000 + 3000, 1, 1).selectExpr("id AS n", "repeat('x', 40) AS pad").coalesce(
+            1
+        ).write.option("header", True).csv(str(tmp_path / f"in/part{part}"))
+    setting, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    paths = [str(tmp_path / f"in/part{part}") for part in range(2)]
+    read = spark.read.schema("n long, pad string").option("header", True).csv(paths)
+    try:
+        spark.conf.set(setting, "20000")
+        numbered = files.file_order_id(read, "id")
+        spark.conf.set(setting, "70000")
+        found = {r["n"]: r["id"] for r in numbered.select("n", "id").collect()}
+    finally:
+        spark.conf.set(setting, before)
+    assert len(found) == 6000 and sorted(found.values()) == list(range(6000))
+    assert all(found[n] - found[n - n % 3000] == n % 3000 for n in found)
+
+
 def test_generated_rows(spark):
     transactions, identity = synthetic_tables(spark, 2000, 100, seed=5)
     assert transactions.count() == 2000 and 300 < identity.count() < 700
@@ -82,6 +101,13 @@ def test_prediction_names(spark, tmp_path):
     assert files.read_predictions(spark, path, "B").first()["p"] == 0.25
     with pytest.raises(FileNotFoundError):
         files.read_predictions(spark, path, "C")
+    # A second write replaces its own models only.
+    files.write_predictions(spark.createDataFrame([("A", 1, 0.75)], "model string, y int, p double"), path)
+    assert files.read_predictions(spark, path, "A").first()["p"] == 0.75
+    assert files.read_predictions(spark, path, "B").first()["p"] == 0.25
+    other = str(tmp_path / "by_run")
+    files.write_predictions(spark.createDataFrame([("r1", 0.5)], "run string, p double"), other, "run")
+    assert files.read_predictions(spark, other, "r1", "run").first()["p"] == 0.5
 
 
 def test_run_log_keeps_whole_parameters(spark, tmp_path):
