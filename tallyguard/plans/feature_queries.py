@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -246,6 +247,50 @@ def kmeans_clusters(spark, folder):
     return near.select("vec_id", "label", latent.nearest("distances").alias("cluster"))
 
 
+@query(
+    """SELECT count(*)::BIGINT AS vectors, 64 AS dimensions, true AS at_least_three, true AS falling,
+  true AS shares_of_total, true AS orthonormal, 0::DOUBLE AS mean_1, 0::DOUBLE AS mean_2 FROM embeddings"""
+)
+def pca_contract(spark, folder):
+    """Loadings are orthonormal, shares fall and stay within the total, projections are centred."""
+    rows = latent.as_vector(_vectors(spark, folder), "embedding")
+    fitted = latent.fit_pca(rows)
+    loadings = np.array(fitted.components, float)
+    loadings = loadings if loadings.shape[0] <= loadings.shape[1] else loadings.T
+    identity = np.eye(len(loadings))
+    checks = {
+        "at_least_three": fitted.k >= 3,
+        "falling": all(a >= b - 1e-12 for a, b in zip(fitted.ratios, fitted.ratios[1:])),
+        "shares_of_total": 0 < sum(fitted.ratios) <= 1 + 1e-9,
+        "orthonormal": bool(np.allclose(loadings @ loadings.T, identity, atol=1e-8)),
+    }
+    return latent.with_projection(rows, fitted).agg(
+        F.count(F.lit(1)).alias("vectors"),
+        F.lit(loadings.shape[1]).alias("dimensions"),
+        *[F.lit(bool(v)).alias(k) for k, v in checks.items()],
+        *[r6(F.avg(F.get("latent", i))).alias(f"mean_{i + 1}") for i in range(2)],
+    )
+
+
+@query(
+    """SELECT count(*)::BIGINT AS vectors, 8 AS clusters, count(*)::BIGINT AS at_nearest,
+  count(DISTINCT vec_id)::BIGINT AS ids FROM embeddings"""
+)
+def kmeans_contract(spark, folder):
+    """Every vector belongs to one cluster, that of its nearest centroid; no cluster is empty."""
+    rows = latent.as_vector(_vectors(spark, folder), "embedding")
+    points = latent.with_projection(rows, latent.fit_pca(rows, n_components=8)).select("vec_id", "latent")
+    centroids = latent.fit_kmeans(points, "latent", 8)
+    near = points.withColumn("d", latent.centroid_distances(F.col("latent"), centroids))
+    near = near.withColumn("cluster", latent.nearest("d"))
+    return near.agg(
+        F.count(F.lit(1)).alias("vectors"),
+        F.count_distinct("cluster").cast("int").alias("clusters"),
+        F.count_if(F.get("d", F.col("cluster").cast("int")) == F.array_min("d")).alias("at_nearest"),
+        F.count_distinct("vec_id").alias("ids"),
+    )
+
+
 DISTANCES = """
 e AS (SELECT vec_id, label, unnest(range(0, 64)) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings),
 c AS (SELECT label AS centre, k, avg(x) AS m FROM e GROUP BY 1, 2),
