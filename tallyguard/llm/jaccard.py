@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 from tallyguard.llm.common import free_name, sent_if_few, written
 from tallyguard.llm.links import components
 
-#: Numbers in a set's profile.
+#: Numbers in a set's profile, and nodes of a signature that meet in one block.
 PROFILE = 128
+MET = 2048
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -290,7 +291,7 @@ def link_documents(
     pairs = written(stars.select("a", "b").distinct())
     links = written(_verified(pairs, nodes, documents, size, percent))
     found = components(links)
-    rest = _open_pairs(stars, found, pairs)
+    rest = _open_pairs(stars, found, pairs, nodes, percent)
     more = written(_verified(rest, nodes, documents, size, percent))
     if more.limit(1).count():
         found = components(links.unionByName(more))
@@ -307,32 +308,64 @@ def link_documents(
     )
 
 
-def _open_pairs(stars: DataFrame, found: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs of one signature in different components that were not compared yet."""
+def _open_pairs(stars: DataFrame, found: DataFrame, done: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one signature in different components that were not compared yet and that
+    sizes and profiles allow. A signature's nodes meet in blocks of bounded size, and only
+    pairs that pass leave the task."""
     label = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
-    named = (
-        stars.join(label("b"), "b", "left")
-        .join(label("a"), "a", "left")
-        .withColumns({"c_a": F.coalesce("c_a", "a"), "c_b": F.coalesce("c_b", "b")})
-    )
+    named = stars.join(label("b"), "b", "left").withColumn("c_b", F.coalesce("c_b", "b"))
     # A signature is open if two of its nodes other than the smallest are in two components.
     open_ = (
         named.groupBy("sig")
-        .agg(F.min("c_b").alias("low"), F.max("c_b").alias("high"))
+        .agg(F.min("c_b").alias("low"), F.max("c_b").alias("high"), F.count(F.lit(1)).alias("m"))
         .where("low < high")
-        .select("sig")
+        .select("sig", F.ceil(F.col("m") / MET).cast("int").alias("blocks"))
     )
-    members = written(named.join(open_, "sig").select("sig", F.col("b").alias("node"), F.col("c_b").alias("c")))
-    left = members.select("sig", F.col("node").alias("a"), F.col("c").alias("c_a"))
-    right = members.select("sig", F.col("node").alias("b"), F.col("c").alias("c_b"))
-    return (
-        left.join(right, "sig")
-        .where("a < b and c_a <> c_b")
-        .select("a", "b")
-        .distinct()
-        .join(done, ["a", "b"], "left_anti")
+    order = Window.partitionBy("sig").orderBy("node")
+    members = (
+        named.join(open_, "sig")
+        .select("sig", "blocks", F.col("b").alias("node"), F.col("c_b").alias("c"))
+        .withColumn("mine", F.floor((F.row_number().over(order) - 1) / MET).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("sig", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "c")
+        .join(nodes.select("node", "n", "profile"), "node")
     )
 
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def passed(rows: list[tuple]) -> pa.RecordBatch:
+            _, i, j, mine, node, c, n, profile = zip(*rows)
+            block, node, c, n = (np.array(v, np.int64) for v in (mine, node, c, n))
+            profile = np.frombuffer(b"".join(profile), np.uint8).reshape(-1, PROFILE)
+            first, second = [], []
+            for r in np.flatnonzero(block == i[0]).tolist():
+                to = np.flatnonzero((block == j[0]) & (node > node[r]) & (c != c[r])) if i[0] == j[0] else (
+                    np.flatnonzero((block == j[0]) & (node != node[r]) & (c != c[r]))
+                )
+                limit = (n[to] + n[r]) * (100 - percent) // (100 + percent)
+                to, limit = to[np.abs(n[to] - n[r]) <= limit], limit[np.abs(n[to] - n[r]) <= limit]
+                apart = np.maximum(profile[to], profile[r]) - np.minimum(profile[to], profile[r])
+                near = node[to[apart.sum(1, dtype=np.int64) <= limit]]
+                first.append(np.minimum(near, node[r]))
+                second.append(np.maximum(near, node[r]))
+            whole = [np.concatenate(v) if v else np.zeros(0, np.int64) for v in (first, second)]
+            return pa.RecordBatch.from_arrays([pa.array(v) for v in whole], ["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(column.to_pylist() for column in batch.columns)):
+                if held and row[:3] != held[-1][:3]:
+                    if len(held) > 1:
+                        yield passed(held)
+                    held = []
+                held.append(row)
+        if len(held) > 1:
+            yield passed(held)
+
+    cells = ["sig", "i", "j"]
+    dealt = members.select(*cells, "mine", "node", "c", "n", "profile").repartition(*cells).sortWithinPartitions(*cells)
+    return dealt.mapInArrow(meet, "a long, b long").distinct().join(done, ["a", "b"], "left_anti")
+
 
 def keep_first_of_groups(
     df: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text"

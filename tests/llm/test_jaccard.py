@@ -42,7 +42,8 @@ def some_texts(seed, words=90):
 
 
 @pytest.mark.parametrize("size, percent, seed", [(3, 90, 1), (5, 80, 2), (1, 50, 3)])
-def test_components_equal_all_pairs(documents, size, percent, seed):
+def test_components_equal_all_pairs(documents, size, percent, seed, monkeypatch):
+    monkeypatch.setattr(jaccard, "MET", 3)
     rows = some_texts(seed)
     rows.append((None, rows[0][1]))
     df = documents(rows).withColumn("node", F.lit(1)).withColumn("component", F.lit(2))
