@@ -10,6 +10,8 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -61,6 +63,11 @@ def _scan(df: DataFrame, expressions: list[Column]) -> list:
     return list(df.agg(*named).first())
 
 
+def _held(df: DataFrame, ranges: list[_Range]) -> DataFrame:
+    """Rows that some open range holds; the bounds reach the file scan, which skips the rest."""
+    return df.where(reduce(or_, [r.holds() for r in ranges]))
+
+
 def sketch_around(value: Column, share: float) -> Column:
     """Two values that enclose the given share of the column, up to the sketch error."""
     margin = 2.0 / SKETCH_ACCURACY
@@ -113,7 +120,7 @@ def _finish(
     # Neighbouring ranks usually share a range, which is gathered once.
     lists = {(r.column, r.low, r.high): r for r in ranges}
     slots = {key: f"s{i}" for i, key in enumerate(lists)}
-    gathered = df.agg(
+    gathered = _held(df, ranges).agg(
         *[
             F.sort_array(
                 F.collect_list(
@@ -157,25 +164,27 @@ def _narrow(
         edges = [guesses[(r.column, r.rank)] for r in ranges]
     else:
         edges = _scan(
-            df,
+            _held(df, ranges),
             [
                 sketch_around(F.when(r.holds(), F.col(r.column)), (r.rank - r.below) / r.inside)
                 for r in ranges
             ],
         )
-    # Neighbouring ranks usually share their edges, which are counted once.
-    marks = list(dict.fromkeys((r.column, e) for r, pair in zip(ranges, edges) for e in pair))
+    # Neighbouring ranks usually share range and edges, which are counted once.
+    marks = {(r.column, r.low, r.high, e): r for r, pair in zip(ranges, edges) for e in pair}
     counts = [
-        F.count_if(test)
-        for column, e in marks
+        F.count_if(r.holds() & test)
+        for (column, _, _, e), r in marks.items()
         for test in (F.col(column) < F.lit(e), F.col(column) <= F.lit(e))
     ]
-    counted = _scan(df, counts)
-    around = {mark: (counted[2 * i], counted[2 * i + 1]) for i, mark in enumerate(marks)}
+    counted = _scan(_held(df, ranges), counts)
+    around = {
+        mark: (r.below + counted[2 * i], r.below + counted[2 * i + 1]) for i, (mark, r) in enumerate(marks.items())
+    }
     still_open = []
     for r, (lo, hi) in zip(ranges, edges):
-        below_lo, through_lo = around[(r.column, lo)]
-        below_hi, through_hi = around[(r.column, hi)]
+        below_lo, through_lo = around[(r.column, r.low, r.high, lo)]
+        below_hi, through_hi = around[(r.column, r.low, r.high, hi)]
         if r.rank < below_lo:
             still_open.append(_Range(r.column, r.rank, r.low, lo, r.below, below_lo - r.below))
         elif r.rank < through_lo:
