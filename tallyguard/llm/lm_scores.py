@@ -166,8 +166,9 @@ def score_documents(
     spark = df.sparkSession
     bounded_batches(spark, 4096)
     texts = df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    rows = _exploded(texts, tokenizer).repartition("gram")
-    counts = rows.where("gram >= 0").groupBy("gram").agg(F.sum("times").alias("both"))
+    # Written, because both the count table and the join read the exploded rows.
+    rows = written(_exploded(texts, tokenizer))
+    counts = written(rows.where("gram >= 0").groupBy("gram").agg(F.sum("times").alias("both")))
     # One row per token of the tokenizer and the start mark: a bounded table.
     singles = F.broadcast(
         counts.groupBy(F.shiftright("gram", BITS).alias("token")).agg(F.sum("both").alias("single"))
