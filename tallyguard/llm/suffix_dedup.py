@@ -283,7 +283,9 @@ def find_repeats(df: DataFrame, key: str, text: str, length: int) -> tuple[DataF
             )
         ),
     )
-    often = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    # Written, so that the join below has two shuffled sides and a hot anchor's rows can be split.
+    often = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    often = written(often.where("n > 1").select("gram"))
     per_text = (
         runs.join(often, "gram")
         .groupBy("node")
