@@ -11,7 +11,7 @@ no half file; each block is one binary value and can be read alone:
     C x u32   place of each chunk's first word
     W x u64   words
 
-All numbers are little-endian. A chunk is 8,192 ids of the block (the last may be shorter). A
+All numbers are little-endian. A chunk is 32,768 ids of the block (the last may be shorter). A
 word has a selector in its top four bits and 60 bits of payload, first id lowest. Selector s
 from 1 to 14 holds PER_WORD[s] ids of equal width; selector 0 is an escape: the next word is
 one id of up to 64 bits. A chunk's last word may hold zeros beyond its ids. Because chunks
@@ -35,7 +35,7 @@ from tallyguard.llm.tokens import token_bytes
 from tallyguard.session import shared_folder
 
 MAGIC = b"S8W1"
-CHUNK = 8192
+CHUNK = 32768
 BLOCK_IDS = 1 << 18
 #: Fixed values of the code: ids in a word by selector; selector 0 is the escape.
 PER_WORD = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 #: Characters per call of the tokenizer, and pieces in each of a worker's two tables.
 CALL_SIZE = 1 << 18
-KEPT_PIECES = 350_000
+KEPT_PIECES = 700_000
 #: Characters of a piece that is worth keeping.
 KEPT_LENGTH = 64
 
