@@ -26,10 +26,9 @@ KEPT_PIECES = 700_000
 #: Characters of a piece that is worth keeping.
 KEPT_LENGTH = 64
 
-_ODD_SPACE = re.compile(r"[^\S \n\t\r]")
-_PIECES = re.compile(
-    r"\s*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[^A-Za-z\x80-\U0010ffff]|\Z)|\s*\S+|\s+"
-).findall
+# Every white-space character but the four plain ones.
+_ODD_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_PIECES = re.compile(r"[ \n]?[A-Za-zÀ-ÖØ-öø-ÿ]++(?![\x80-\U0010ffff])|\s*\S+|\s+").findall
 
 
 def pieces_of(text: str) -> list[str]:
