@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from tallyguard.llm.common import free_name, sent_if_few, written
 from tallyguard.llm.links import components
+from tallyguard.llm.tokens import forget
 
 #: Numbers in a set's profile, and nodes of a signature that meet in one block.
 PROFILE = 128
@@ -161,6 +162,7 @@ def _digests(df: DataFrame, size: int) -> DataFrame:
     """(id, digest, n, profile): of the word sequence and of the shingle set."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             digests, sizes, profiles = [], [], []
             for value in batch.column(1).to_pylist():

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from tallyguard.llm.common import free_name, sent_if_few, written
+from tallyguard.llm.tokens import forget
 
 #: Weight of an unlabelled document in the counts of its site.
 SOFT = 0.5
@@ -78,6 +79,7 @@ def text_measures(df: DataFrame, text: str = "text", into: str = "measures") ->
     schema = shaped.drop("_text").schema.add(into, ArrayType(DoubleType()))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             values = [measures_of(t) for t in batch.column(len(rest)).to_pylist()]
             yield pa.RecordBatch.from_arrays(

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 #: Characters per call of the tokenizer, and pieces in each of a worker's two tables.
 CALL_SIZE = 1 << 18
-KEPT_PIECES = 700_000
+KEPT_PIECES = 500_000
 #: Characters of a piece that is worth keeping.
 KEPT_LENGTH = 64
 
@@ -101,6 +101,11 @@ def _table(path: str, value: Callable) -> PieceTable:
     return _TABLES[key]
 
 
+def forget() -> None:
+    """Give this worker's tables back; operators that follow on packing call it."""
+    _TABLES.clear()
+
+
 def balanced(texts: list, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts with at most ``most`` characters, or one text."""
     start = size = 0
