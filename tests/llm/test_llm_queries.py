@@ -75,7 +75,8 @@ def test_packing_is_whole_and_tight(spark, folder):
             at += r.length
         assert at <= 2048
     used = sum(r.length for r in rows)
-    assert len(sequences) * 2048 - used < 2048
+    # Remains are not cut, so the last windows of a group may miss the fewest possible by one.
+    assert len(sequences) <= -(-used // 2048) + 1
 
 
 def test_token_files(spark, folder):
