@@ -24,7 +24,7 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects or finds toxic go."""
     bounded_batches(spark)
     return keep_quality(docs, table(spark, folder, "labels"))
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyguard.llm import topk
-from tallyguard.llm.quality import MEASURES, keep_quality, measures_of, score_quality
+from tallyguard.llm.quality import MEASURES, _packed, _unpacked, keep_quality, measures_of, score_quality
 
 
 def vectors(spark, rows):
@@ -114,3 +114,37 @@ def test_quality_without_labels_rows_or_keys(spark, documents):
     assert kept.columns == df.columns and kept.count() == len(rows)
 
 
+def test_held_out_toxic(spark, folder):
+    folder = folder.replace("sf0.001", "sf0.1")
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    scored = score_quality(documents, labels.where("doc_id % 2 = 0")).select("doc_id", "keep", F.col("toxic").alias("found"))
+    rows = scored.join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
+    toxic, clean = [[r for r in rows if r.toxic == y] for y in (1, 0)]
+    good = [r for r in clean if r.quality == 1]
+    print(
+        f"toxic {sum(r.found for r in toxic)}/{len(toxic)}, clean lost {sum(r.found for r in clean)}/{len(clean)}, "
+        f"bad {sum(not r.keep for r in rows if r.quality == 0)}/{sum(r.quality == 0 for r in rows)}, "
+        f"good lost {sum(not r.keep for r in rows if r.quality == 1)}/{sum(r.quality == 1 for r in rows)}, "
+        f"good and clean lost by either {sum(r.found or not r.keep for r in good)}/{len(good)}"
+    )
+    assert sum(r.found for r in toxic) / len(toxic) > 0.85
+    assert sum(r.found for r in clean) / len(clean) < 0.02
+
+
+def test_toxic_documents_go_and_one_class_tells_nothing(spark, documents):
+    calm = "a plain sentence with some words in it number {} of the day"
+    rows = [(i, calm.format(i) + (" you idiot" if i % 4 == 0 else "")) for i in range(200)]
+    labels = [(i, 1, int(i % 4 == 0)) for i in range(100)]
+    shape = "doc_id long, quality int, toxic int"
+    kept = keep_quality(documents(rows), spark.createDataFrame(labels, shape))
+    assert {r.doc_id for r in kept.collect()} == {i for i in range(200) if i % 4}
+    for y in (0, 1, None):
+        same = spark.createDataFrame([(i, 1, y) for i, *_ in labels], shape)
+        assert keep_quality(documents(rows), same).count() == 200
+    assert keep_quality(documents(rows), same.drop("toxic")).count() == 200
+
+
+def test_buckets_are_packed_and_read_again():
+    for buckets in ([], [0], [65534, 65535, 65536, 262143], [131070], [196605, 262143]):
+        assert _unpacked(_packed(np.array(buckets, np.int64))).tolist() == buckets
