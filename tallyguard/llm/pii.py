@@ -53,7 +53,7 @@ _NUMBERS = re.compile(
     r"|(?P<email>(?<![\w.+%-])[\w+%-][\w.+%-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
     r"|(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
     rf"|(?P<ip>(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9]))"
-    r"|(?P<card>(?<![0-9])[3-6][0-9]{3}(?:[ -]?[0-9]{3,6}){2,4}(?![0-9]))"
+    r"|(?P<card>(?<![0-9])(?:[3-6][0-9]{3}|2[2-7][0-9]{2})(?:[ -]?[0-9]{3,6}){2,4}(?![0-9]))"
     r"|(?P<phone>(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])"
     r"|(?<![\w+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])"
     r"|(?<![\w.+-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9]))"
@@ -72,6 +72,10 @@ def luhn(digits: str) -> bool:
     return sum(x - 9 if x > 9 else x for x in doubled) % 10 == 0
 
 
+def _is_card(digits: str) -> bool:
+    return 13 <= len(digits) <= 19 and luhn(digits) and (digits[0] != "2" or "2221" <= digits[:4] <= "2720")
+
+
 def _mod97(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
@@ -105,15 +109,22 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
             if kind == "email":
                 value = value.lower()
             elif kind == "iban":
-                value = value.replace(" ", "")
-                if _mod97(value) != 1:
+                # A neighbour may have been taken along: cut it off group by group.
+                while value and _mod97(value.replace(" ", "")) != 1:
+                    value = value.rpartition(" ")[0]
+                if len(value.replace(" ", "")) < 12:
+                    at = start + 1
                     continue
+                at = end = start + len(value)
+                value = value.replace(" ", "")
             elif kind == "card":
                 # Digits of a neighbour may have been taken along: cut them off group by group.
-                while digits and not (13 <= len(digits) <= 19 and luhn(digits)):
+                while digits and not _is_card(digits):
                     value = re.sub(r"(^|[ -])[0-9]+$", "", value)
                     digits = re.sub(r"[^0-9]", "", value)
                 if not digits:
+                    # The card may begin behind a neighbour's digits.
+                    at = start + 1
                     continue
                 at = end = start + len(value)
                 value = digits
@@ -181,7 +192,9 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
     if kind == "ip":
         return ".".join(str(n) for n in (1 + draw.below(223), *(draw.below(256) for _ in range(3))))
     if kind == "card":
-        body = value[0] + "".join(draw.of("0123456789") for _ in value[2:])
+        # Only some numbers with a first digit 2 are cards.
+        head = str(2221 + draw.below(500)) if value[0] == "2" else value[0]
+        body = head + "".join(draw.of("0123456789") for _ in value[len(head) + 1 :])
         return body + next(c for c in "0123456789" if luhn(body + c))
     if kind == "iban":
         body = draw.like(value[4:])

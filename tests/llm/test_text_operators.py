@@ -230,3 +230,25 @@ def test_removes_documents_or_spans(spark, documents):
     none = benchmark(spark, [])
     assert dec.decontaminate(documents(rows), none).count() == 3
     assert dec.decontaminate(documents([]), items).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "entity"),
+    [
+        ("ES91 2100 0418 4502 0005 1332 BIC CODE", "iban", "ES91 2100 0418 4502 0005 1332"),
+        ("BE68 5390 0754 7034 2024 was", "iban", "BE68 5390 0754 7034"),
+        ("BE68539007547034 2024 was", "iban", "BE68539007547034"),
+        ("AB12 3456 7890 1234 BE68 5390 0754 7034", "iban", "BE68 5390 0754 7034"),
+        ("3012 4845168114407329", "card", "4845168114407329"),
+        ("in 2024 4845 1681 1440 7329 1234", "card", "4845 1681 1440 7329"),
+        ("2223 0031 2200 3222", "card", "2223 0031 2200 3222"),
+    ],
+)
+def test_neighbours_do_not_hide_entities(text, kind, entity):
+    assert [(text[a:b], k) for a, b, k, _ in pii.entities(text)] == [(entity, kind)]
+
+
+def test_surrogate_cards_stay_cards():
+    for attempt in range(50):
+        assert pii._is_card(pii.surrogate(KEY, "card", "2223003122003222", attempt))
+    assert not pii.entities("2820 0031 2200 3222")
