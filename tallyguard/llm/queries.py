@@ -163,3 +163,6 @@ _SHINGLES = r"""
 )
 def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return link_documents(table(spark, folder, "documents"), size=3, percent=90)
+
+
+from tallyguard.llm import order_queries  # noqa: E402, F401

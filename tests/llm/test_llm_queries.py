@@ -31,7 +31,7 @@ def crc(ids):
 
 
 def test_all_are_registered():
-    assert {q.split("_")[0] for q in MINE if q != "pipeline"} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in MINE if q != "pipeline"} == {f"op{n}" for n in range(1, 14)}
     assert "pipeline" in MINE
 
 
