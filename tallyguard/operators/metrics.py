@@ -19,7 +19,7 @@ from tallyguard.functions.expressions import (
     sigmoid,
 )
 from tallyguard.operators.ordering import quantile_edges, running_totals
-from tallyguard.session import partition_target
+from tallyguard.session import durable, partition_target
 
 # Default costs (missed, false alarm), sweep grids in hundredths, and the
 # precision floor.
@@ -38,14 +38,29 @@ def score_counts(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataF
     )
 
 
-def ranked_scores(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
+#: Distinct scores, over all groups, whose running sums one task may hold.
+FEW_SCORES = 200_000
+
+
+def counted_scores(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
+    """The score counts as a durable table: the one pass over the rows that a metric makes."""
+    return durable(score_counts(df, y, p, by))
+
+
+def ranked_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per distinct score, highest first: pos, n, and the running and total counts.
 
-    ``cum_pos`` and ``cum_n`` count rows with a score at least this high.
+    ``cum_pos`` and ``cum_n`` count rows with a score at least this high. Only with many
+    distinct scores is a group cut into ranges, whose edges come from the counts.
     """
-    pieces = partition_target(df.sparkSession, df.count())
-    edges = quantile_edges(df, p, pieces)
-    return running_totals(score_counts(df, y, p, by), "p", ["pos", "n"], by, True, edges)
+    distinct = counts.count()
+    pieces = partition_target(counts.sparkSession, distinct) if distinct > FEW_SCORES else 1
+    return running_totals(counts, "p", ["pos", "n"], by, True, quantile_edges(counts, "p", pieces))
+
+
+def ranked_scores(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
+    """The ranked counts of a scored table."""
+    return ranked_counts(counted_scores(df, y, p, by), by)
 
 
 def _ratio(top: Column, bottom: Column, otherwise: float = 0.0) -> Column:
@@ -80,7 +95,12 @@ def _ranking_columns() -> dict[str, Column]:
 
 def ranking_metrics(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
     """Average precision, ROC-AUC and recall at 95% precision; fallbacks for one class."""
-    ranked = ranked_scores(df, y, p, by)
+    return ranking_of_counts(counted_scores(df, y, p, by), by)
+
+
+def ranking_of_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The ranking metrics of a table of score counts (``by``, p, pos, n)."""
+    ranked = ranked_counts(counts, by)
     return ranked.groupBy(*by).agg(*[c.alias(k) for k, c in _ranking_columns().items()])
 
 
@@ -223,7 +243,8 @@ def metrics_record(
     Without ``optimal_threshold`` the F1-best one is searched on the same rows. No rows give
     zeros (ROC-AUC and threshold 0.5); one class gives 0 / 0.5 / 0 for the ranking metrics.
     """
-    ranked = ranked_scores(df, y, p, by)
+    counts = counted_scores(df, y, p, by)
+    ranked = ranked_counts(counts, by)
     pos, n, score = F.col("pos"), F.col("n"), F.col("p")
 
     def parts(cut: float) -> list[Column]:
@@ -249,8 +270,7 @@ def metrics_record(
         record = ranked.groupBy(*by).agg(*[c.alias(k) for k, c in columns.items()])
     else:
         record = ranked.groupBy(*by).agg(*[c.alias(k) for k, c in columns.items()])
-        # The same counts feed the sweep, so Spark shuffles and scans them once.
-        swept = _sweep(score_counts(df, y, p, by), by, SEARCH_GRID)
+        swept = _sweep(counts, by, SEARCH_GRID)
         found = _best(swept, by, "f1", *SEARCH_COSTS).select(
             *by, F.col("score").alias("fraud_f1_opt"), F.col("threshold").alias("optimal_threshold")
         )
@@ -328,7 +348,8 @@ def cheapest_threshold(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def pr_curve(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
     """Precision and recall at each distinct score, and the end point (1, 0) without one."""
-    ranked = ranked_scores(df, y, p, by)
+    counts = counted_scores(df, y, p, by)
+    ranked = ranked_counts(counts, by)
     points = ranked.select(
         *by,
         F.col("p").alias("threshold"),
@@ -336,7 +357,7 @@ def pr_curve(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame
         # Without positives recall is 1 everywhere by convention.
         _ratio(F.col("cum_pos"), F.col("all_pos"), 1.0).alias("recall"),
     )
-    ends = _group_rows(df, by).select(
+    ends = _group_rows(counts, by).select(
         *by,
         F.lit(None).cast("double").alias("threshold"),
         F.lit(1.0).alias("precision"),
@@ -347,7 +368,8 @@ def pr_curve(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame
 
 def roc_curve(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
     """False and true positive rate at each distinct score, and the start point (0, 0)."""
-    ranked = ranked_scores(df, y, p, by)
+    counts = counted_scores(df, y, p, by)
+    ranked = ranked_counts(counts, by)
     negatives = F.col("all_n") - F.col("all_pos")
     points = ranked.select(
         *by,
@@ -355,7 +377,7 @@ def roc_curve(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFram
         _ratio(F.col("cum_n") - F.col("cum_pos"), negatives).alias("fpr"),
         _ratio(F.col("cum_pos"), F.col("all_pos")).alias("tpr"),
     )
-    starts = _group_rows(df, by).select(
+    starts = _group_rows(counts, by).select(
         *by, F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")
     )
     return points.unionByName(starts)
@@ -402,12 +424,21 @@ def evaluate_logits(
     """
     label = F.col(y).cast("double")
     value = loss_column(loss, F.col(logit).cast("double"), label, alpha, gamma, positive_weight)
-    scored = df.select(*by, y, value.alias("_loss"), sigmoid(F.col(logit).cast("double")).alias("_p"))
-    summary = scored.groupBy(*by).agg(
-        F.coalesce(F.avg("_loss"), F.lit(0.0)).alias("loss"),
-        F.coalesce(F.max(F.isnan("_p")), F.lit(False)).alias("has_nan"),
+    scored = df.select(*by, y, value.alias("_loss"), sigmoid(F.col(logit).cast("double")).alias("p"))
+    # One pass: the losses are added up beside the score counts.
+    counts = durable(
+        scored.groupBy(*by, "p").agg(
+            F.sum(F.col(y).cast("long")).alias("pos"),
+            F.count(F.lit(1)).alias("n"),
+            F.sum("_loss").alias("losses"),
+            F.count("_loss").alias("lossy"),
+        )
+    )
+    summary = counts.groupBy(*by).agg(
+        _ratio(F.sum("losses"), F.sum("lossy")).alias("loss"),
+        F.coalesce(F.max(F.isnan("p")), F.lit(False)).alias("has_nan"),
     )
-    areas = ranking_metrics(scored, y, "_p", by).select(*by, "pr_auc", "roc_auc")
+    areas = ranking_of_counts(counts, by).select(*by, "pr_auc", "roc_auc")
     stacked = summary.unionByName(areas, allowMissingColumns=True)
     merged = stacked.groupBy(*by).agg(
         *[F.max(c).alias(c) for c in ("loss", "has_nan", "pr_auc", "roc_auc")]

@@ -17,10 +17,12 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyguard.operators.sketches import LARGEST, SMALLEST, quantiles, rank_error, size_for, sketched
 from tallyguard.session import partition_target
 
 GATHER_ROWS = 20_000
-SKETCH_ACCURACY = 10_000
+#: Items of all sketches that a task holds together.
+SKETCH_ITEMS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -68,11 +70,15 @@ def _held(df: DataFrame, ranges: list[_Range]) -> DataFrame:
     return df.where(reduce(or_, [r.holds() for r in ranges]))
 
 
-def sketch_around(value: Column, share: float) -> Column:
-    """Two values that enclose the given share of the column, up to the sketch error."""
-    margin = 2.0 / SKETCH_ACCURACY
-    around = [max(0.0, share - margin), min(1.0, share + margin)]
-    return F.percentile_approx(value, around, SKETCH_ACCURACY)
+def sketch_size(columns: int) -> int:
+    """The largest sketch for a few columns, smaller ones where a task holds many."""
+    return max(SMALLEST, min(LARGEST, SKETCH_ITEMS // max(columns, 1)))
+
+
+def shares_around(share: float, k: int) -> list[float]:
+    """Two shares that enclose the given one, up to the error of a sketch of size ``k``."""
+    margin = 2.0 * rank_error(k)
+    return [max(0.0, share - margin), min(1.0, share + margin)]
 
 
 def order_statistics(
@@ -88,7 +94,7 @@ def order_statistics(
 
     Each round narrows every open range with a quantile sketch and then counts exactly, so no
     row is shuffled or sorted. A range with at most ``gather_rows`` values is finished directly.
-    One round cuts a range to about 1/2500 of its rows.
+    One round cuts a range to less than a thousandth of its rows, for few columns.
 
     ``totals`` and ``guesses`` (two enclosing values per rank) save the first count and sketch.
     Rows with equal values are ranked by ``carry``. Without ``places`` only values are wanted.
@@ -163,13 +169,7 @@ def _narrow(
     if guesses:
         edges = [guesses[(r.column, r.rank)] for r in ranges]
     else:
-        edges = _scan(
-            _held(df, ranges),
-            [
-                sketch_around(F.when(r.holds(), F.col(r.column)), (r.rank - r.below) / r.inside)
-                for r in ranges
-            ],
-        )
+        edges = _around(df, ranges)
     # Neighbouring ranks usually share range and edges, which are counted once.
     marks = {(r.column, r.low, r.high, e): r for r, pair in zip(ranges, edges) for e in pair}
     counts = [
@@ -200,16 +200,30 @@ def _narrow(
     return still_open
 
 
+def _around(df: DataFrame, ranges: list[_Range]) -> list[list]:
+    """Two values around the rank of each range, from one sketch per distinct range."""
+    lists = {(r.column, r.low, r.high): r for r in ranges}
+    names = {key: f"r{i}" for i, key in enumerate(lists)}
+    k = sketch_size(len(lists))
+    values = {names[key]: F.when(r.holds(), F.col(r.column)) for key, r in lists.items()}
+    wanted: dict[str, list[float]] = {name: [] for name in values}
+    for r in ranges:
+        wanted[names[r.column, r.low, r.high]] += shares_around((r.rank - r.below) / r.inside, k)
+    found, _ = quantiles(_held(df, ranges), values, wanted, k=k)
+    at = {name: iter(points) for name, points in found.items()}
+    return [[next(at[names[r.column, r.low, r.high]]) for _ in range(2)] for r in ranges]
+
+
 def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
     """Median (mean of the middle two) of the non-null values per column; None if all null."""
     columns = list(columns)
     if not columns:
         return {}
-    first = _scan(
-        df, [F.count(F.col(c)) for c in columns] + [sketch_around(F.col(c), 0.5) for c in columns]
-    )
-    counts = dict(zip(columns, first))
-    around = dict(zip(columns, first[len(columns) :]))
+    k = sketch_size(len(columns))
+    first = sketched(df, {f"v{i}": F.col(c) for i, c in enumerate(columns)}, {f"n{i}": F.count(F.col(c)) for i, c in enumerate(columns)}, k)
+    points = first.at({f"v{i}": shares_around(0.5, k) for i in range(len(columns))})
+    counts = {c: first.totals[f"n{i}"] for i, c in enumerate(columns)}
+    around = {c: points[f"v{i}"] for i, c in enumerate(columns)}
     ranks = {c: [(n - 1) // 2, n // 2] for c, n in counts.items() if n}
     guesses = {(c, k): around[c] for c, ks in ranks.items() for k in ks}
     values = order_statistics(df, ranks, counts, guesses=guesses, places=False) if ranks else {}
@@ -223,23 +237,25 @@ def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | No
     return medians
 
 
-def quantile_edges(df: DataFrame, column: str, pieces: int) -> list[float]:
+def quantile_edges(df: DataFrame, column: str, pieces: int | None = None) -> list[float]:
     """Distinct inner edges that cut ``column`` into about ``pieces`` equal shares.
 
-    A value that is the quantile of several shares gets a range of its own, which ends just
-    above it, so that neighbours do not share the range of a hot value.
+    Without ``pieces`` the rows, counted in the same pass, decide. A value that is the quantile
+    of several shares gets a range of its own, which ends just above it, so that neighbours do
+    not share the range of a hot value.
     """
-    if pieces < 2:
+    if pieces is not None and pieces < 2:
         return []
-    shares = [i / pieces for i in range(1, pieces)]
-    value = F.col(column).cast("double")
-    found = df.agg(
-        F.percentile_approx(F.when(~F.isnan(value), value), shares, max(10_000, 20 * pieces))
-    ).first()[0]
-    found = found or []
-    hot = {a for a, b in zip(found, found[1:]) if a == b}
+    k = LARGEST if pieces is None else size_for(pieces)
+    found = sketched(df, {"v": F.col(column).cast("double")}, {"n": F.count(F.lit(1))}, k)
+    return _edges(found, "v", pieces or partition_target(df.sparkSession, found.totals["n"]))
+
+
+def _edges(found, name: str, pieces: int) -> list[float]:
+    points = [float(x) for x in found.at({name: [i / pieces for i in range(1, pieces)]})[name]]
+    hot = {a for a, b in zip(points, points[1:]) if a == b}
     above = {math.nextafter(v, math.inf) for v in hot} - {math.inf}
-    return sorted({*found, *above})
+    return sorted({*points, *above})
 
 
 def with_bucket(df: DataFrame, column: str, edges: Sequence[float], name: str) -> DataFrame:
@@ -253,37 +269,78 @@ def with_bucket(df: DataFrame, column: str, edges: Sequence[float], name: str) -
     return cut.transform(df).withColumn(name, F.coalesce(F.col(name).cast("int"), null))
 
 
+@dataclass(frozen=True)
+class KeyRanges:
+    """Ranges of (time, tie) that hold about equal shares of the rows they were measured on.
+
+    A single time value that fills more than two shares is cut again on ``tie``. Range numbers
+    ascend with (time, tie), null times last, and are dense from 0.
+    """
+
+    time: str
+    tie: str
+    edges: list[float]
+    heavy: list[int]
+    tie_edges: list[float]
+
+    @property
+    def count(self) -> int:
+        return (len(self.edges) + 3) + len(self.heavy) * (len(self.tie_edges) + 2)
+
+    def numbered(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` with the number of the range of each row: a projection, whatever the size."""
+        ranged = with_bucket(df, self.time, self.edges, name)
+        if not self.heavy:
+            return ranged
+        inside = f"{name}_tie"
+        ranged = with_bucket(ranged, self.tie, self.tie_edges, inside)
+        # Each heavy range before a row's own one takes as many numbers as it has cuts more.
+        more = len(self.tie_edges) + 2
+        shift = sum((F.when(F.col(name) > h, more).otherwise(0) for h in self.heavy), F.lit(0))
+        own = F.when(F.col(name).isin(self.heavy), F.col(inside)).otherwise(0)
+        return ranged.withColumn(name, (F.col(name) + shift + own).cast("int")).drop(inside)
+
+
+def key_ranges(df: DataFrame, time: str, tie: str, pieces: int | None = None) -> KeyRanges:
+    """Measure ranges on ``df``, which only has to have the keys: one pass, and one more to see
+    whether single time values are crowded."""
+    keys = df.select(time, tie)
+    k = LARGEST if pieces is None else size_for(pieces)
+    counts = {"n": F.count(F.lit(1)), "timed": F.count(F.col(time))}
+    found = sketched(keys, {"v": F.col(time).cast("double")}, counts, k)
+    n, untimed = found.totals["n"], found.totals["n"] - found.totals["timed"]
+    pieces = pieces or partition_target(df.sparkSession, n)
+    edges = _edges(found, "v", pieces) if pieces > 1 else []
+    # Only a value that took two shares or more of the sketch can fill more than two shares.
+    crowded = [e for e, up in zip(edges, edges[1:]) if up == math.nextafter(e, math.inf)]
+    heavy, tie_edges = [], []
+    if crowded or untimed * pieces > 2 * n:
+        ranged = with_bucket(keys, time, edges, "_range")
+        heavy = _single_value_ranges(ranged, time, pieces)
+        if heavy:
+            tie_edges = quantile_edges(ranged.where(F.col("_range").isin(heavy)), tie, pieces)
+    return KeyRanges(time, tie, edges, sorted(heavy), tie_edges)
+
+
 def global_row_number(
     df: DataFrame, time: str, tie: str, name: str = "row_number", pieces: int | None = None
 ) -> DataFrame:
     """Exact position of each row (from 1) in (time, tie) order over the whole table.
 
-    Rows with a null time come last, in the order of ``tie``. Rows are cut into ranges of ``time``. A single time value that fills more than two shares is
-    cut again on ``tie``. One shuffle on the range number, a local sort, and an offset per range.
+    Rows with a null time come last, in the order of ``tie``. Rows are cut into ranges of
+    (time, tie). One shuffle on the range number, a local sort, and an offset per range.
     """
-    pieces = pieces or partition_target(df.sparkSession, df.count())
-    ranged = with_bucket(df, time, quantile_edges(df, time, pieces), "_range")
-    heavy = _single_value_ranges(ranged, time, pieces)
-    if heavy:
-        crowded = F.col("_range").isin(heavy)
-        tie_edges = quantile_edges(ranged.where(crowded), tie, pieces)
-        ranged = with_bucket(ranged, tie, tie_edges, "_tie_range").withColumn(
-            "_tie_range", F.when(crowded, F.col("_tie_range")).otherwise(F.lit(0))
-        )
-    else:
-        ranged = ranged.withColumn("_tie_range", F.lit(0))
-
-    cells = ["_range", "_tie_range"]
-    sizes = ranged.groupBy(*cells).agg(F.count(F.lit(1)).alias("_rows"))
+    ranged = key_ranges(df, time, tie, pieces).numbered(df, "_range")
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
     # One row per range, so this unpartitioned window is small by construction.
-    before = Window.orderBy(*cells).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*cells, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy(*cells).orderBy(time, tie)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy("_range").orderBy(F.col(time).asc_nulls_last(), tie)
     placed = ranged.withColumn("_at", F.row_number().over(inside))
     return (
-        placed.join(offsets, cells)
+        placed.join(offsets, "_range")
         .withColumn(name, (F.col("_off") + F.col("_at")).cast("long"))
-        .drop(*cells, "_off", "_at")
+        .drop("_range", "_off", "_at")
     )
 
 

@@ -8,8 +8,9 @@ sketch per group reaches the last task, however many tasks read the data.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,10 +23,15 @@ GROUP = "_task_group"
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
+def task_group_count(spark: SparkSession) -> int:
+    """Into how many groups tasks are dealt: the shuffle width, within bounds."""
+    width = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(2, min(MOST_GROUPS, width))
+
+
 def task_groups(df: DataFrame) -> Column:
     """The number of the group that a row's task belongs to."""
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return F.pmod(F.spark_partition_id(), F.lit(max(2, min(MOST_GROUPS, width))))
+    return F.pmod(F.spark_partition_id(), F.lit(task_group_count(df.sparkSession)))
 
 
 def size_for(pieces: int) -> int:
@@ -40,7 +46,9 @@ def _typed(df: DataFrame, value: Column) -> tuple[Column, str]:
     return value.cast("double"), "double"
 
 
-def grouped(df: DataFrame, sums: Mapping[str, Column], sketches: Mapping[str, Column], k: int) -> tuple[DataFrame, dict[str, str]]:
+def grouped(
+    df: DataFrame, sums: Mapping[str, Column], sketches: Mapping[str, Column], k: int
+) -> tuple[DataFrame, dict[str, str]]:
     """One row per task group: the plain aggregates ``sums`` and a sketch of each value."""
     kinds, built = {}, []
     for name, value in sketches.items():
@@ -52,18 +60,40 @@ def grouped(df: DataFrame, sums: Mapping[str, Column], sketches: Mapping[str, Co
     return df.groupBy(task_groups(df).alias(GROUP)).agg(*plain, *built), kinds
 
 
-def quantiles(
-    df: DataFrame,
-    values: Mapping[str, Column],
-    shares: Mapping[str, Sequence[float]],
-    totals: Mapping[str, Column] | None = None,
-    k: int = LARGEST,
-) -> tuple[dict[str, list], dict[str, int]]:
-    """Values near the given shares of each column, and exact totals from the same pass.
-
-    ``totals`` are counts or sums that add up over the groups. A column without values, nulls
-    and NaN aside, gives an empty list. Whole numbers stay whole, all others become double.
-    The result is as large as ``shares`` and ``totals``, whatever the data.
+@dataclass
+class Sketches:
+    """Merged sketches and exact totals of one pass; quantiles are read without a new pass."""
+
+    spark: SparkSession
+    totals: dict[str, int]
+    merged: dict[str, bytearray | None]
+    kinds: dict[str, str]
+
+    def at(self, shares: Mapping[str, Sequence[float]]) -> dict[str, list]:
+        """Values near the given shares per name; an empty list for a column without values."""
+        asked = [n for n in shares if len(shares[n]) and self.merged[n] is not None]
+        found: dict[str, list] = {n: [] for n in shares}
+        if not asked:
+            return found
+        schema = ", ".join(f"s{i} binary" for i in range(len(asked)))
+        row = self.spark.createDataFrame([tuple(self.merged[n] for n in asked)], schema).select(
+            *[
+                getattr(F, f"kll_sketch_get_quantile_{self.kinds[n]}")(
+                    f"s{i}", F.array(*[F.lit(float(x)) for x in shares[n]])
+                ).alias(f"q{i}")
+                for i, n in enumerate(asked)
+            ]
+        ).first()
+        return found | {n: list(row[i]) for i, n in enumerate(asked)}
+
+
+def sketched(
+    df: DataFrame, values: Mapping[str, Column], totals: Mapping[str, Column] | None = None, k: int = LARGEST
+) -> Sketches:
+    """One pass: a sketch of each value, nulls and NaN left out, and totals that add up.
+
+    Whole numbers are kept whole, all other values become double. What reaches the driver is
+    one sketch per value and one number per total.
     """
     totals = dict(totals or {})
     parts, kinds = grouped(df, totals, values, k)
@@ -71,18 +101,25 @@ def quantiles(
         *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in totals],
         *[getattr(F, f"kll_merge_agg_{kinds[name]}")(F.col(name)).alias(name) for name in values],
     )
-    asked = [name for name in values if len(shares[name])]
     row = merged.select(
         *totals,
-        *[
-            F.when(
-                getattr(F, f"kll_sketch_get_n_{kinds[name]}")(F.col(name)) > 0,
-                getattr(F, f"kll_sketch_get_quantile_{kinds[name]}")(
-                    F.col(name), F.array(*[F.lit(float(s)) for s in shares[name]])
-                ),
-            ).alias(name)
-            for name in asked
-        ],
+        *[F.when(getattr(F, f"kll_sketch_get_n_{kinds[n]}")(F.col(n)) > 0, F.col(n)).alias(n) for n in values],
     ).first()
-    found = {name: list(row[name] or []) if name in asked else [] for name in values}
-    return found, {name: row[name] for name in totals}
+    return Sketches(df.sparkSession, {n: row[n] for n in totals}, {n: row[n] for n in values}, kinds)
+
+
+def quantiles(
+    df: DataFrame,
+    values: Mapping[str, Column],
+    shares: Mapping[str, Sequence[float]],
+    totals: Mapping[str, Column] | None = None,
+    k: int = LARGEST,
+) -> tuple[dict[str, list], dict[str, int]]:
+    """Values near the given shares of each column, and exact totals from the same pass."""
+    found = sketched(df, values, totals, k)
+    return found.at(shares), found.totals
+
+
+def rank_error(k: int) -> float:
+    """Share by which a sketch of size ``k`` may miss a rank, at the 99 % level."""
+    return 2.3 / k**0.9

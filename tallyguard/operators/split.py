@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyguard.operators.ordering import order_statistics, sketch_around
+from tallyguard.operators.ordering import order_statistics, shares_around, sketch_size
+from tallyguard.operators.sketches import sketched
 
 SPLITS = ("train", "dev", "test")
 
@@ -49,17 +50,19 @@ def split_boundaries(
     """
     keys = df.select(F.col(time).alias("t"), F.col(tie).alias("k"))
     # One pass counts the rows and sketches where the cuts will be.
-    n, missing, dev_guess, test_guess = keys.agg(
-        F.count(F.lit(1)),
-        F.count_if(F.col("t").isNull() | F.col("k").isNull()),
-        sketch_around(F.col("t"), min(max(train, 0.0), 1.0)),
-        sketch_around(F.col("t"), min(max(train + dev, 0.0), 1.0)),
-    ).first()
+    k = sketch_size(1)
+    found = sketched(
+        keys,
+        {"t": F.col("t")},
+        {"n": F.count(F.lit(1)), "missing": F.count_if(F.col("t").isNull() | F.col("k").isNull())},
+        k,
+    )
+    n, missing = found.totals["n"], found.totals["missing"]
     if missing:
         raise ValueError(f"{missing} rows have no {time} or no {tie}")
     n_train, n_dev = split_sizes(n, train, dev, test)
     cuts = [r for r in dict.fromkeys([n_train, n_train + n_dev]) if r < n]
-    guesses = {("t", n_train + n_dev): test_guess, ("t", n_train): dev_guess}
+    guesses = {("t", r): found.at({"t": shares_around(r / n, k)})["t"] for r in cuts}
     starts = _keys_at(keys, cuts, n, guesses) if cuts else {}
     return SplitBoundaries(
         starts.get(n_train), starts.get(n_train + n_dev), n, n_train, n_dev

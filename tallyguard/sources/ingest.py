@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyguard.functions.expressions import entity_key
+from tallyguard.operators.ordering import key_ranges
 from tallyguard.operators.skew import skewed_left_join
 from tallyguard.sources.files import file_order_id, read_csv, write_parquet
 from tallyguard.sources.synthetic import synthetic_tables
@@ -74,12 +75,22 @@ def with_entity(df: DataFrame, name: str = "card_id", parts: Sequence[str] = ENT
     return df.withColumn(name, F.lit(ONLY_ENTITY))
 
 
-def chronological(df: DataFrame, time: str, tie: str) -> DataFrame:
-    """Range-partitioned by time and sorted inside, so files written in order are sorted."""
+def chronological(df: DataFrame, time: str, tie: str, measured: DataFrame | None = None) -> DataFrame:
+    """Range-partitioned by time and sorted inside, so files written in order are sorted.
+
+    The range edges are measured beforehand on ``measured``, which has the same keys as ``df``
+    and may be a plain scan; by default on ``df`` itself. A row's partition is the number of its
+    range, so that Spark does not run the plan behind ``df`` a second time to sample it.
+    """
     if time not in df.columns:
         return df
-    keys = [time, tie] if tie in df.columns else [time]
-    return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    numeric = all(c in df.columns and isinstance(df.schema[c].dataType, T.NumericType) for c in (time, tie))
+    if not numeric:
+        keys = [time, tie] if tie in df.columns else [time]
+        return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ranges = key_ranges(df if measured is None else measured, time, tie)
+    placed = ranges.numbered(df, "_part").repartitionById(ranges.count, "_part")
+    return placed.sortWithinPartitions(F.col(time).asc_nulls_last(), tie).drop("_part")
 
 
 def ingest_transactions(
@@ -92,7 +103,10 @@ def ingest_transactions(
     merged = with_entity(merged)
     if out is None:
         return merged
-    write_parquet(chronological(merged, "TransactionDT", "TransactionID"), out)
+    # The join keeps every transaction, so the plain table has all keys to measure.
+    keys = [c for c in ("TransactionDT", "TransactionID") if c in transactions.columns]
+    measured = downcast(transactions.select(*keys)) if len(keys) == 2 else None
+    write_parquet(chronological(merged, "TransactionDT", "TransactionID", measured), out)
     return merged.sparkSession.read.parquet(out)
 
 
