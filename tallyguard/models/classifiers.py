@@ -6,9 +6,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.ml import Model
 from pyspark.ml.classification import (
     GBTClassificationModel,
@@ -27,7 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyguard.models.weights import with_weight
-from tallyguard.operators.metrics import ranking_metrics
+from tallyguard.operators.metrics import ranking_of_counts
+from tallyguard.session import durable
 
 INTERNAL = ("rawPrediction", "probability", "prediction")
 
@@ -120,33 +124,110 @@ class BoostedTrees(_Scorer):
             _labelled(train, self.features, self.target), "label", "positive", self.positive_weight
         )
         model = self._train(rows, self.trees)
-        self.best_trees = self.trees
+        self.best_trees = len(model.trees)
         if dev is not None:
-            curve = self.dev_curve(model, dev)
-            self.best_trees = _stop_early(curve, self.patience)
-            if self.best_trees < self.trees:
-                # Same seed, so these are the first trees of the longer run.
-                model = self._train(rows, self.best_trees)
-        self.model = model
+            self.best_trees = _stop_early(self.dev_curve(model, dev), self.patience)
+        self.model = first_trees(model, self.best_trees)
         return self
 
     def dev_curve(self, model: GBTClassificationModel, dev: DataFrame) -> list[tuple[int, float]]:
-        """(number of trees, dev PR-AUC) at the checked tree counts, from one job."""
-        rows = _labelled(dev, self.features, self.target)
-        trees, shares = model.trees, model.treeWeights
-        checked = sorted({*range(self.check_every, len(trees), self.check_every), len(trees)})
-        for i, tree in enumerate(trees):
-            rows = tree.setPredictionCol(f"_t{i}").transform(rows)
-        margin, points = F.lit(0.0), []
-        for i, share in enumerate(shares):
-            margin = margin + F.lit(share) * F.col(f"_t{i}")
-            if i + 1 in checked:
-                points.append(F.struct(F.lit(i + 1).alias("trees"), margin.alias("p")))
-        long = rows.select("label", F.inline(F.array(*points)))
-        areas = ranking_metrics(long, "label", "p", ["trees"]).select("trees", "pr_auc")
+        """(number of trees, dev PR-AUC) at the checked tree counts, from one pass over ``dev``."""
+        grown = len(model.trees)
+        checked = sorted({*range(self.check_every, grown, self.check_every), grown})
+        counts = durable(staged_counts(model, _labelled(dev, self.features, self.target), checked))
+        areas = ranking_of_counts(counts, ["trees"]).select("trees", "pr_auc")
         return sorted((r["trees"], r["pr_auc"]) for r in areas.collect())  # one row per check
 
 
+def first_trees(model: GBTClassificationModel, count: int) -> GBTClassificationModel:
+    """The ensemble of the first ``count`` trees: boosting adds trees without changing earlier ones."""
+    if count >= len(model.trees):
+        return model
+    context = SparkContext._active_spark_context
+    gateway, java = context._gateway, model._java_obj
+    trees = gateway.new_array(context._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, count)
+    shares = gateway.new_array(gateway.jvm.double, count)
+    grown = java.trees()
+    for i, share in enumerate(model.treeWeights[:count]):
+        trees[i], shares[i] = grown[i], float(share)
+    kind = context._jvm.org.apache.spark.ml.classification.GBTClassificationModel
+    cut = kind(java.uid(), trees, shares, model.numFeatures, model.numClasses)
+    java.copyValues(cut, context._jvm.org.apache.spark.ml.param.ParamMap.empty())
+    return GBTClassificationModel(cut)
+
+
+def leaf_values(model: GBTClassificationModel) -> list[list[float]]:
+    """Per tree the predictions of its leaves, from left to right, as the leaf numbers count."""
+    trees: list[list[float]] = []
+    for line in model.toDebugString.splitlines():
+        words = line.split()
+        if words[:1] == ["Tree"]:
+            trees.append([])
+        elif words[:1] == ["Predict:"]:
+            trees[-1].append(float(words[1]))
+    return trees
+
+
+#: Distinct (tree count, score) pairs that a task holds before it passes its counts on.
+HELD_SCORES = 1_000_000
+
+
+def staged_counts(model: GBTClassificationModel, rows: DataFrame, checked: Sequence[int]) -> DataFrame:
+    """(trees, p, pos, n): score counts of the ensemble cut after each of ``checked`` trees.
+
+    The model names every row's leaf in every tree once; running sums over the leaf values are
+    the margins of all cuts. A task folds its rows into counts per cut and score, so a row is
+    never repeated per cut.
+    """
+    values = leaf_values(model)
+    starts = np.cumsum([0, *[len(v) for v in values[:-1]]])
+    flat = np.concatenate([np.asarray(v) * w for v, w in zip(values, model.treeWeights)])
+    ends = np.asarray(checked) - 1
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[tuple]] = [[] for _ in ends]
+
+        def added(parts: list[tuple]) -> tuple:
+            scores, at = np.unique(np.concatenate([s for s, _, _ in parts]), return_inverse=True)
+            pos, n = (np.bincount(at, np.concatenate([x[i] for x in parts]), len(scores)) for i in (1, 2))
+            return scores, pos, n
+
+        def flush() -> pa.RecordBatch:
+            sums = [added(parts) for parts in held]
+            columns = [np.repeat(np.asarray(checked, "int32"), [len(s) for s, _, _ in sums])]
+            columns += [np.concatenate([x[i] for x in sums]) for i in range(3)]
+            kinds = ("int32", "float64", "int64", "int64")
+            for parts in held:
+                parts.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c.astype(k)) for c, k in zip(columns, kinds)], names=["trees", "p", "pos", "n"]
+            )
+
+        size = 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            label = batch.column("label").to_numpy(zero_copy_only=False)
+            leaves = batch.column("leaves").flatten().to_numpy(zero_copy_only=False)
+            leaves = leaves.reshape(len(batch), len(values)).astype("int64")
+            margins = np.cumsum(flat[leaves + starts], axis=1)[:, ends]
+            one = np.ones(len(batch))
+            for i, parts in enumerate(held):
+                parts.append(added([(margins[:, i], (label == 1).astype("float64"), one)]))
+                size += len(parts[-1][0])
+            if size > HELD_SCORES:
+                yield flush()
+                size = 0
+        if size:
+            yield flush()
+
+    leafy = model.copy()
+    leafy.setLeafCol("_leaves")
+    numbered = leafy.transform(rows).select("label", vector_to_array("_leaves").alias("leaves"))
+    parts = numbered.mapInArrow(fold, "trees int, p double, pos long, n long")
+    return parts.groupBy("trees", "p").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+
+
 def _stop_early(curve: Sequence[tuple[int, float]], patience: int) -> int:
     """Tree count of the best value before ``patience`` trees pass without a better one."""
     best_count, best = curve[0]

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from tallyguard.models import classifiers
 from tallyguard.models.classifiers import (
     BoostedTrees,
     CalibratedSvm,
@@ -73,6 +74,36 @@ def test_dev_rows_choose_the_tree_count(rows):
     assert model.best_trees in (2, 4, 6) and len(model.model.trees) == model.best_trees
 
 
+def test_staged_curve_equals_a_plain_loop(rows, monkeypatch):
+    train, dev = rows.where("TransactionID < 250"), rows.where("TransactionID >= 250")
+    model = BoostedTrees(trees=7, max_depth=3, check_every=2)
+    labelled = train.selectExpr("features", "cast(isFraud as double) AS label", "1.0 AS weight")
+    grown = model._train(labelled, 7)
+    for held in (classifiers.HELD_SCORES, 5):
+        monkeypatch.setattr(classifiers, "HELD_SCORES", held)
+        found = dict(model.dev_curve(grown, dev.repartition(3)))
+        assert sorted(found) == [2, 4, 6, 7]
+        for count, area in found.items():
+            cut = classifiers.first_trees(grown, count)
+            scored = BoostedTrees(model=cut).score(dev)
+            assert len(cut.trees) == count and cut.treeWeights == grown.treeWeights[:count]
+            assert area == pytest.approx(ranking_metrics(scored, "isFraud", "p").first()["pr_auc"])
+
+
+def test_cut_model_equals_a_shorter_training(rows, tmp_path):
+    labelled = rows.selectExpr("features", "cast(isFraud as double) AS label", "1.0 AS weight")
+    model = BoostedTrees(trees=6, max_depth=3)
+    cut, short = classifiers.first_trees(model._train(labelled, 6), 3), model._train(labelled, 3)
+    a, b = (
+        [r["p"] for r in BoostedTrees(model=m).score(rows).orderBy("TransactionID").collect()] for m in (cut, short)
+    )
+    assert a == pytest.approx(b)
+    # A cut model is stored and read like any other.
+    BoostedTrees(model=cut).save(str(tmp_path / "cut"))
+    again = BoostedTrees().restore(str(tmp_path / "cut")).score(rows).orderBy("TransactionID").collect()
+    assert [r["p"] for r in again] == pytest.approx(a)
+
+
 def weights(spark, pos, neg, given=None):
     df = spark.createDataFrame([(1,)] * pos + [(0,)] * neg, "y int")
     return class_weight_table(df, "y", given).first()
