@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.common import _py2java
+from pyspark.ml.feature import PCA, PCAModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import DenseMatrix, Vectors
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+# Fixed value: the share of the variance that the kept components explain.
+VARIANCE_TARGET = 0.90
+
+
 def assemble(df: DataFrame, columns: Sequence[str], name: str = "features") -> DataFrame:
     """Scalar columns as one ML vector."""
     return VectorAssembler(inputCols=list(columns), outputCol=name).transform(df)
@@ -63,7 +70,7 @@ def choose_components(
 
 
 def fit_pca(
-    df: DataFrame, features: str = "features", threshold: float = 0.90, n_components: int | None = None
+    df: DataFrame, features: str = "features", threshold: float = VARIANCE_TARGET, n_components: int | None = None
 ) -> Projection:
     """Fit on an ML vector column. Only the d x d result reaches the driver.
 
@@ -81,35 +88,42 @@ def fit_pca(
     return Projection(mean, components, ratios, choose_components(ratios, n, width, threshold, n_components))
 
 
-def project(values: Column, projection: Projection) -> Column:
-    """(x - mean) times the first k components, for an array<double> column without nulls."""
-    mean, loadings = projection.mean, projection.components[:, : projection.k]
-
-    # Self-contained, so executors need not have this package installed.
-    @F.arrow_udf("array<double>")
-    def apply(batch: pa.Array) -> pa.Array:
-        x = batch.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), len(mean))
-        y = (x - mean) @ loadings
-        ends = pa.array(np.arange(len(batch) + 1) * y.shape[1], pa.int32())
-        return pa.ListArray.from_arrays(ends, pa.array(y.ravel()))
-
-    return apply(values)
+def _jvm_model(spark: SparkSession, projection: Projection) -> PCAModel:
+    """Spark's own model of the first k components, built from the stored loadings."""
+    context, k = spark.sparkContext, projection.k
+    loadings = projection.components[:, :k]
+    matrix = DenseMatrix(*loadings.shape, loadings.ravel(order="F").tolist())
+    java = context._jvm.org.apache.spark.ml.feature.PCAModel(
+        f"pca_{uuid.uuid4().hex[:12]}",
+        _py2java(context, matrix),
+        _py2java(context, Vectors.dense(projection.ratios[:k].tolist())),
+    )
+    return PCAModel(java)._set(k=k)
 
 
 def with_projection(
     df: DataFrame, projection: Projection, features: str = "features", name: str = "latent"
 ) -> DataFrame:
-    return df.withColumn(name, project(vector_to_array(features), projection))
+    """Adds (x - mean) times the first k components, as an array, without a Python worker.
+
+    Multiplying is left to Spark's model, whose loadings have the fixed signs; the projected
+    mean is the same for all rows and is subtracted behind it.
+    """
+    raw = f"_{name}_raw"
+    centre = projection.mean @ projection.components[:, : projection.k]
+    model = _jvm_model(df.sparkSession, projection).setInputCol(features).setOutputCol(raw)
+    shifted = F.zip_with(vector_to_array(raw), F.array(*[F.lit(float(c)) for c in centre]), lambda a, c: a - c)
+    return model.transform(df).withColumn(name, shifted).drop(raw)
 
 
-def scree_table(spark: SparkSession, projection: Projection) -> DataFrame:
-    """Variance ratio per component and its running sum (one row per component)."""
+def scree_table(spark: SparkSession, projection: Projection, target: float = VARIANCE_TARGET) -> DataFrame:
+    """Variance ratio per component, its running sum, and whether that is within ``target``."""
     rows = [(i + 1, float(r)) for i, r in enumerate(projection.ratios)]
     running = Window.orderBy("component").rowsBetween(Window.unboundedPreceding, 0)
     return (
         spark.createDataFrame(rows, "component int, variance_ratio double")
         .withColumn("cumulative_ratio", F.sum("variance_ratio").over(running))
-        .withColumn("within_target", F.col("cumulative_ratio") <= 0.90)
+        .withColumn("within_target", F.col("cumulative_ratio") <= F.lit(float(target)))
     )
 
 
@@ -121,12 +135,10 @@ def fit_kmeans(df: DataFrame, array: str = "latent", k: int = 8, seed: int = 42,
 
 
 def label_centroids(df: DataFrame, array: str, label: str) -> DataFrame:
-    """Mean vector per label: one row per (label, position), combined map-side."""
-    parts = df.select(label, F.posexplode(F.col(array).cast("array<double>")).alias("pos", "x"))
-    means = parts.groupBy(label, "pos").agg(F.avg("x").alias("m"))
-    return means.groupBy(label).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("centroid")
-    )
+    """Mean vector per label: one vector per task and label is shuffled, whatever its length."""
+    vector = array_to_vector(F.col(array).cast("array<double>"))
+    means = df.where(F.col(array).isNotNull()).groupBy(label).agg(Summarizer.mean(vector).alias("centroid"))
+    return means.withColumn("centroid", vector_to_array("centroid"))
 
 
 def centroid_distances(values: Column, centroids: Sequence[Sequence[float]]) -> Column:
