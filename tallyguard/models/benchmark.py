@@ -5,18 +5,13 @@ from __future__ import annotations
 import time
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallyguard.operators.metrics import best_threshold, metrics_record
 
 
-def scoring_speed(model, df: DataFrame) -> dict[str, float]:
-    """Rows per second and milliseconds per row of scoring ``df`` into a discarding sink."""
-    rows = df.count()
-    started = time.perf_counter()
-    model.score(df).select("p").write.format("noop").mode("overwrite").save()
-    seconds = time.perf_counter() - started
+def speed_of(rows: int, seconds: float) -> dict[str, float]:
     return {
         "rows": float(rows),
         "rows_per_sec": rows / seconds if seconds else 0.0,
@@ -24,6 +19,23 @@ def scoring_speed(model, df: DataFrame) -> dict[str, float]:
     }
 
 
+def timed_write(df: DataFrame, write) -> dict[str, float]:
+    """Speed of one job: ``write(df)`` runs it, and its rows are counted while it runs."""
+    seen = Observation()
+    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+    started = time.perf_counter()
+    write(counted)
+    seconds = time.perf_counter() - started
+    return speed_of(seen.get["rows"], seconds)
+
+
+def scoring_speed(model, df: DataFrame) -> dict[str, float]:
+    """Rows per second and milliseconds per row of scoring ``df`` into a discarding sink."""
+    return timed_write(
+        model.score(df).select("p"), lambda rows: rows.write.format("noop").mode("overwrite").save()
+    )
+
+
 def run_models(
     models: Mapping[str, object], train: DataFrame, dev: DataFrame, test: DataFrame, target: str = "isFraud"
 ) -> tuple[DataFrame, DataFrame]:

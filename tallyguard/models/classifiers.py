@@ -68,6 +68,13 @@ class NotFitted(RuntimeError):
     pass
 
 
+def _without_summary(model: Model) -> Model:
+    """The model without its training summary, which would send the training plan and the session
+    along with every scoring task, and cannot be sent once the session has observed a query."""
+    model._java_obj.setSummary(SparkContext._active_spark_context._jvm.scala.Option.apply(None))
+    return model
+
+
 @dataclass
 class _Scorer:
     """Shared scoring and persistence; subclasses fit ``model``."""
@@ -83,6 +90,11 @@ class _Scorer:
             raise NotFitted("fit the model before scoring")
         return _positive(self.model, df, self.features)
 
+    def settings(self) -> dict:
+        """The parameters of the training, for the run log."""
+        fitted = ("model", "pairs", "features", "target")
+        return {k: v for k, v in vars(self).items() if k not in fitted}
+
     def save(self, path: str) -> None:
         if self.model is None:
             raise NotFitted("fit the model before saving")
@@ -250,13 +262,14 @@ class Forest(_Scorer):
 
     def fit(self, train: DataFrame, dev: DataFrame | None = None) -> "Forest":
         rows = with_weight(_labelled(train, self.features, self.target), "label", "balanced")
-        self.model = RandomForestClassifier(
+        forest = RandomForestClassifier(
             numTrees=self.trees,
             maxDepth=self.max_depth,
             minInstancesPerNode=self.min_leaf,
             weightCol="weight",
             seed=self.seed,
-        ).fit(rows)
+        )
+        self.model = _without_summary(forest.fit(rows))
         return self
 
 
@@ -282,9 +295,10 @@ class CalibratedSvm(_Scorer):
 
     def _fit_fold(self, rows: DataFrame, held: int) -> tuple[LinearSVCModel, LogisticRegressionModel]:
         inner = with_weight(rows.where(F.col("fold") != held), "label", "balanced")
-        svm = LinearSVC(
+        machine = LinearSVC(
             regParam=self.alpha, maxIter=self.max_iter, standardization=False, weightCol="weight"
-        ).fit(inner)
+        )
+        svm = _without_summary(machine.fit(inner))
         held_out = svm.transform(rows.where(F.col("fold") == held))
         platt = LogisticRegression(
             featuresCol="margin", labelCol="target", weightCol="share", regParam=0.0, standardization=False
@@ -357,7 +371,8 @@ class SequenceNetwork(_Scorer):
     def fit(self, train: DataFrame, dev: DataFrame | None = None) -> "SequenceNetwork":
         rows = _labelled(train, self.features, self.target)
         width = len(rows.first()["features"])
-        self.model = MultilayerPerceptronClassifier(
+        network = MultilayerPerceptronClassifier(
             layers=[width, *self.hidden, 2], maxIter=self.max_iter, seed=self.seed
-        ).fit(rows)
+        )
+        self.model = _without_summary(network.fit(rows))
         return self

@@ -15,6 +15,7 @@ from tallyguard.operators.correlation import redundant_columns
 from tallyguard.operators.ordering import exact_medians
 from tallyguard.operators.skew import HOT_ROWS, salted_left_join
 from tallyguard.session import durable, partition_target
+from tallyguard.sources.versions import open_version, publish
 
 # Fixed value: the category of a missing text.
 MISSING = "MISSING"
@@ -197,21 +198,24 @@ def _hot_categories(state: FeatureState, column: str, limit: int = HOT_ROWS) ->
     return hot.select(F.col("category").alias(f"_key_{column}"), F.col("count").alias("n"))
 
 
-def save_features(state: FeatureState, spark: SparkSession, path: str) -> None:
-    """One JSON row for the scalars, one Parquet table per large category dictionary."""
+def save_features(state: FeatureState, spark: SparkSession, path: str) -> int:
+    """Publish the state as a new version under ``path``; its number.
+
+    One row of JSON holds the scalars; each large category dictionary is a table.
+    """
     scalars = {k: v for k, v in vars(state).items() if k != "dictionaries"}
     names = sorted(state.dictionaries)
     body = json.dumps({**scalars, "dictionary_columns": names})
-    spark.createDataFrame([(body,)], "state string").write.mode("overwrite").parquet(f"{path}/state")
-    for i, c in enumerate(names):
-        state.dictionaries[c].write.mode("overwrite").parquet(f"{path}/dictionary_{i}")
+    parts = {"state": spark.createDataFrame([(body,)], "state string")}
+    parts |= {f"dictionary_{i}": state.dictionaries[c] for i, c in enumerate(names)}
+    return publish(spark, path, parts).number
 
 
-def load_features(spark: SparkSession, path: str) -> FeatureState:
-    body = json.loads(spark.read.parquet(f"{path}/state").first()["state"])
+def load_features(spark: SparkSession, path: str, version: int | None = None) -> FeatureState:
+    """The newest complete state under ``path``, or that of a version; anything less is an error."""
+    found = open_version(spark, path, version)
+    body = json.loads(found.parts["state"].first()["state"])
     names = body.pop("dictionary_columns")
     state = FeatureState(**body)
-    state.dictionaries = {
-        c: spark.read.parquet(f"{path}/dictionary_{i}") for i, c in enumerate(names)
-    }
+    state.dictionaries = {c: found.parts[f"dictionary_{i}"] for i, c in enumerate(names)}
     return state

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallyguard.operators.ordering import order_statistics, shares_around, sketch_size
@@ -149,8 +150,39 @@ def split_audit(df: DataFrame, time: str, label: str) -> DataFrame:
 
 def check_no_lookahead(audit: DataFrame) -> None:
     """Fail when a split ends after the next one starts. Reads the three audit rows."""
-    seen = {row["split"]: row for row in audit.collect()}
+    check_order({row["split"]: row for row in audit.collect()})
+
+
+def check_order(seen: Mapping[str, Mapping]) -> None:
+    """Fail when a split's ``max_time`` is past the next one's ``min_time``."""
     present = [seen[s] for s in SPLITS if s in seen]
     for earlier, later in zip(present, present[1:]):
         if earlier["max_time"] > later["min_time"]:
             raise ValueError(f"{earlier['split']} reaches past the start of {later['split']}")
+
+
+def audited(df: DataFrame, time: str, label: str) -> tuple[DataFrame, Callable[[], dict[str, dict]]]:
+    """``df`` with counters that fill while it is written, and a function that reads them after.
+
+    The audit of ``split_audit`` then costs no pass of its own. Splits without rows are left out.
+    """
+    seen = Observation()
+    y = F.col(label).cast("long")
+    measures = {
+        "n_rows": lambda part: F.count_if(part),
+        "n_pos": lambda part: F.sum(F.when(part, y)),
+        "labelled": lambda part: F.count(F.when(part, y)),
+        "min_time": lambda part: F.min(F.when(part, F.col(time))),
+        "max_time": lambda part: F.max(F.when(part, F.col(time))),
+    }
+    columns = [f(F.col("split") == s).alias(f"{s}_{m}") for s in SPLITS for m, f in measures.items()]
+
+    def read() -> dict[str, dict]:
+        got = seen.get
+        parts = {s: {"split": s} | {m: got[f"{s}_{m}"] for m in measures} for s in SPLITS}
+        for part in parts.values():
+            labelled = part.pop("labelled")
+            part["pos_rate"] = part["n_pos"] / labelled if labelled else None
+        return {s: p for s, p in parts.items() if p["n_rows"]}
+
+    return df.observe(seen, *columns), read

@@ -13,6 +13,7 @@ from tallyguard.operators.ordering import key_ranges
 from tallyguard.operators.skew import skewed_left_join
 from tallyguard.sources.files import file_order_id, read_csv, write_parquet
 from tallyguard.sources.synthetic import synthetic_tables
+from tallyguard.sources.versions import exists
 
 # Name parts that mark a non-negative 32-bit column, the entity key parts, and the
 # entity of a table without any key part.
@@ -131,13 +132,6 @@ def ingest_ledger(
     return ledger.sparkSession.read.parquet(out)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    return hadoop_path.getFileSystem(conf).exists(hadoop_path)
-
-
 def run_ingestion(
     spark: SparkSession,
     out: str,
@@ -148,12 +142,12 @@ def run_ingestion(
     seconds_per_step: int = 1,
 ) -> DataFrame:
     """The first source that exists wins: transactions, then ledger, else generated rows."""
-    if transaction_csv and _exists(spark, transaction_csv[0]):
+    if transaction_csv and exists(spark, transaction_csv[0]):
         identity = None
-        if identity_csv and _exists(spark, identity_csv[0]):
+        if identity_csv and exists(spark, identity_csv[0]):
             identity = read_csv(spark, *identity_csv)
         return ingest_transactions(read_csv(spark, *transaction_csv), identity, out)
-    if ledger_csv and _exists(spark, ledger_csv[0]):
+    if ledger_csv and exists(spark, ledger_csv[0]):
         return ingest_ledger(read_csv(spark, *ledger_csv), out, seconds_per_step)
     entities = max(500, synthetic_rows // 20)
     transactions, identity = synthetic_tables(spark, synthetic_rows, entities)
