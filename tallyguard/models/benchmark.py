@@ -1,15 +1,11 @@
-"""Fit, choose the threshold on dev, measure on test, and time the scoring job."""
+"""Speed of scoring, measured in the job that does the work."""
 
 from __future__ import annotations
 
 import time
-from collections.abc import Mapping
-
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tallyguard.operators.metrics import best_threshold, metrics_record
-
 
 def speed_of(rows: int, seconds: float) -> dict[str, float]:
     return {
@@ -34,39 +30,3 @@ def scoring_speed(model, df: DataFrame) -> dict[str, float]:
     return timed_write(
         model.score(df).select("p"), lambda rows: rows.write.format("noop").mode("overwrite").save()
     )
-
-
-def run_models(
-    models: Mapping[str, object], train: DataFrame, dev: DataFrame, test: DataFrame, target: str = "isFraud"
-) -> tuple[DataFrame, DataFrame]:
-    """(metrics with one row per model, test predictions of all models).
-
-    The F1-best threshold is fixed on dev and only then applied to test.
-    """
-    metrics, predictions = [], []
-    for name, model in models.items():
-        started = time.perf_counter()
-        model.fit(train, dev)
-        seconds = time.perf_counter() - started
-        cut = best_threshold(model.score(dev), target, "p").first()["threshold"]
-        scored = model.score(test)
-        record = metrics_record(scored, target, "p", optimal_threshold=cut)
-        speed = scoring_speed(model, test)
-        metrics.append(
-            record.select(
-                F.lit(name).alias("model"),
-                "*",
-                F.lit(seconds).alias("train_duration_sec"),
-                F.lit(speed["latency_b1_ms"]).alias("latency_b1_ms"),
-            )
-        )
-        kept = [c for c in ("TransactionID", target) if c in scored.columns]
-        predictions.append(scored.select(F.lit(name).alias("model"), *kept, "p"))
-    return _stack(metrics), _stack(predictions)
-
-
-def _stack(frames: list[DataFrame]) -> DataFrame:
-    whole = frames[0]
-    for frame in frames[1:]:
-        whole = whole.unionByName(frame)
-    return whole

@@ -220,9 +220,14 @@ def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | No
     if not columns:
         return {}
     k = sketch_size(len(columns))
-    first = sketched(df, {f"v{i}": F.col(c) for i, c in enumerate(columns)}, {f"n{i}": F.count(F.col(c)) for i, c in enumerate(columns)}, k)
-    points = first.at({f"v{i}": shares_around(0.5, k) for i in range(len(columns))})
-    counts = {c: first.totals[f"n{i}"] for i, c in enumerate(columns)}
+    points, totals = quantiles(
+        df,
+        {f"v{i}": F.col(c) for i, c in enumerate(columns)},
+        {f"v{i}": shares_around(0.5, k) for i in range(len(columns))},
+        {f"n{i}": F.count(F.col(c)) for i, c in enumerate(columns)},
+        k,
+    )
+    counts = {c: totals[f"n{i}"] for i, c in enumerate(columns)}
     around = {c: points[f"v{i}"] for i, c in enumerate(columns)}
     ranks = {c: [(n - 1) // 2, n // 2] for c, n in counts.items() if n}
     guesses = {(c, k): around[c] for c, ks in ranks.items() for k in ks}
@@ -246,13 +251,19 @@ def quantile_edges(df: DataFrame, column: str, pieces: int | None = None) -> lis
     """
     if pieces is not None and pieces < 2:
         return []
-    k = LARGEST if pieces is None else size_for(pieces)
-    found = sketched(df, {"v": F.col(column).cast("double")}, {"n": F.count(F.lit(1))}, k)
-    return _edges(found, "v", pieces or partition_target(df.sparkSession, found.totals["n"]))
+    value = {"v": F.col(column).cast("double")}
+    if pieces is not None:
+        return _edges(quantiles(df, value, {"v": _cuts(pieces)}, k=size_for(pieces))[0]["v"])
+    found = sketched(df, value, {"n": F.count(F.lit(1))})
+    return _edges(found.at({"v": _cuts(partition_target(df.sparkSession, found.totals["n"]))})["v"])
+
 
+def _cuts(pieces: int) -> list[float]:
+    return [i / pieces for i in range(1, pieces)]
 
-def _edges(found, name: str, pieces: int) -> list[float]:
-    points = [float(x) for x in found.at({name: [i / pieces for i in range(1, pieces)]})[name]]
+
+def _edges(points: list) -> list[float]:
+    points = [float(x) for x in points]
     hot = {a for a, b in zip(points, points[1:]) if a == b}
     above = {math.nextafter(v, math.inf) for v in hot} - {math.inf}
     return sorted({*points, *above})
@@ -305,12 +316,15 @@ def key_ranges(df: DataFrame, time: str, tie: str, pieces: int | None = None) ->
     """Measure ranges on ``df``, which only has to have the keys: one pass, and one more to see
     whether single time values are crowded."""
     keys = df.select(time, tie)
-    k = LARGEST if pieces is None else size_for(pieces)
-    counts = {"n": F.count(F.lit(1)), "timed": F.count(F.col(time))}
-    found = sketched(keys, {"v": F.col(time).cast("double")}, counts, k)
-    n, untimed = found.totals["n"], found.totals["n"] - found.totals["timed"]
-    pieces = pieces or partition_target(df.sparkSession, n)
-    edges = _edges(found, "v", pieces) if pieces > 1 else []
+    value, counts = {"v": F.col(time).cast("double")}, {"n": F.count(F.lit(1)), "timed": F.count(F.col(time))}
+    if pieces is None:
+        found = sketched(keys, value, counts)
+        totals, pieces = found.totals, partition_target(df.sparkSession, found.totals["n"])
+        edges = _edges(found.at({"v": _cuts(pieces)})["v"])
+    else:
+        points, totals = quantiles(keys, value, {"v": _cuts(pieces)}, counts, size_for(pieces))
+        edges = _edges(points["v"])
+    n, untimed = totals["n"], totals["n"] - totals["timed"]
     # Only a value that took two shares or more of the sketch can fill more than two shares.
     crowded = [e for e, up in zip(edges, edges[1:]) if up == math.nextafter(e, math.inf)]
     heavy, tie_edges = [], []

@@ -60,6 +60,10 @@ def grouped(
     return df.groupBy(task_groups(df).alias(GROUP)).agg(*plain, *built), kinds
 
 
+def _points(sketch: Column, kind: str, shares: Sequence[float]) -> Column:
+    return getattr(F, f"kll_sketch_get_quantile_{kind}")(sketch, F.array(*[F.lit(float(x)) for x in shares]))
+
+
 @dataclass
 class Sketches:
     """Merged sketches and exact totals of one pass; quantiles are read without a new pass."""
@@ -75,18 +79,26 @@ class Sketches:
         found: dict[str, list] = {n: [] for n in shares}
         if not asked:
             return found
-        schema = ", ".join(f"s{i} binary" for i in range(len(asked)))
-        row = self.spark.createDataFrame([tuple(self.merged[n] for n in asked)], schema).select(
+        # The sketches are literals, so that this is no job over data.
+        row = self.spark.range(1).select(
             *[
-                getattr(F, f"kll_sketch_get_quantile_{self.kinds[n]}")(
-                    f"s{i}", F.array(*[F.lit(float(x)) for x in shares[n]])
-                ).alias(f"q{i}")
+                _points(F.lit(bytes(self.merged[n])), self.kinds[n], shares[n]).alias(f"q{i}")
                 for i, n in enumerate(asked)
             ]
         ).first()
         return found | {n: list(row[i]) for i, n in enumerate(asked)}
 
 
+def _merged(
+    df: DataFrame, values: Mapping[str, Column], totals: Mapping[str, Column], k: int
+) -> tuple[DataFrame, dict[str, str]]:
+    parts, kinds = grouped(df, totals, values, k)
+    return parts.agg(
+        *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in totals],
+        *[getattr(F, f"kll_merge_agg_{kinds[name]}")(F.col(name)).alias(name) for name in values],
+    ), kinds
+
+
 def sketched(
     df: DataFrame, values: Mapping[str, Column], totals: Mapping[str, Column] | None = None, k: int = LARGEST
 ) -> Sketches:
@@ -96,11 +108,7 @@ def sketched(
     one sketch per value and one number per total.
     """
     totals = dict(totals or {})
-    parts, kinds = grouped(df, totals, values, k)
-    merged = parts.agg(
-        *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in totals],
-        *[getattr(F, f"kll_merge_agg_{kinds[name]}")(F.col(name)).alias(name) for name in values],
-    )
+    merged, kinds = _merged(df, values, totals, k)
     row = merged.select(
         *totals,
         *[F.when(getattr(F, f"kll_sketch_get_n_{kinds[n]}")(F.col(n)) > 0, F.col(n)).alias(n) for n in values],
@@ -115,9 +123,18 @@ def quantiles(
     totals: Mapping[str, Column] | None = None,
     k: int = LARGEST,
 ) -> tuple[dict[str, list], dict[str, int]]:
-    """Values near the given shares of each column, and exact totals from the same pass."""
-    found = sketched(df, values, totals, k)
-    return found.at(shares), found.totals
+    """Values near the given shares of each column, and exact totals, from one job."""
+    totals = dict(totals or {})
+    merged, kinds = _merged(df, values, totals, k)
+    asked = [n for n in values if len(shares[n])]
+    row = merged.select(
+        *totals,
+        *[
+            F.when(getattr(F, f"kll_sketch_get_n_{kinds[n]}")(F.col(n)) > 0, _points(F.col(n), kinds[n], shares[n])).alias(n)
+            for n in asked
+        ],
+    ).first()
+    return {n: list(row[n] or []) if n in asked else [] for n in values}, {n: row[n] for n in totals}
 
 
 def rank_error(k: int) -> float:

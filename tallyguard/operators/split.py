@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallyguard.operators.ordering import order_statistics, shares_around, sketch_size
-from tallyguard.operators.sketches import sketched
+from tallyguard.operators.sketches import quantiles
 
 SPLITS = ("train", "dev", "test")
 
@@ -52,18 +52,20 @@ def split_boundaries(
     keys = df.select(F.col(time).alias("t"), F.col(tie).alias("k"))
     # One pass counts the rows and sketches where the cuts will be.
     k = sketch_size(1)
-    found = sketched(
+    around = [x for share in (train, train + dev) for x in shares_around(min(max(share, 0.0), 1.0), k)]
+    points, totals = quantiles(
         keys,
         {"t": F.col("t")},
+        {"t": around},
         {"n": F.count(F.lit(1)), "missing": F.count_if(F.col("t").isNull() | F.col("k").isNull())},
         k,
     )
-    n, missing = found.totals["n"], found.totals["missing"]
+    n, missing = totals["n"], totals["missing"]
     if missing:
         raise ValueError(f"{missing} rows have no {time} or no {tie}")
     n_train, n_dev = split_sizes(n, train, dev, test)
     cuts = [r for r in dict.fromkeys([n_train, n_train + n_dev]) if r < n]
-    guesses = {("t", r): found.at({"t": shares_around(r / n, k)})["t"] for r in cuts}
+    guesses = {("t", n_train + n_dev): points["t"][2:], ("t", n_train): points["t"][:2]} if n else {}
     starts = _keys_at(keys, cuts, n, guesses) if cuts else {}
     return SplitBoundaries(
         starts.get(n_train), starts.get(n_train + n_dev), n, n_train, n_dev

@@ -11,8 +11,9 @@ from tallyguard.operators.correlation import correlation_matrix as pearson
 from tallyguard.operators.correlation import redundant_columns
 from tallyguard.operators.preprocess import fit_features, transform_features
 from tallyguard.operators.split import temporal_split
-from tallyguard.plans.views import SPLIT, TXN, query, r6, split_transactions, table, transactions
+from tallyguard.plans.views import SPLIT, TXN, query, r6, scratch, split_transactions, table, transactions
 from tallyguard.reports import tables
+from tallyguard.sources import files
 
 LINE_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "net", "disc_qty", "flat"]
 
@@ -112,8 +113,11 @@ FROM wide, med, st LEFT JOIN codes ON c = coalesce(kind, 'MISSING')"""
 )
 def feature_matrix(spark, folder):
     """Fit on train, apply to all splits: one column is pruned, one has only unseen values later."""
-    rows = _feature_rows(spark, folder)
-    state = fit_features(rows.where(F.col("split") == "train"))
+    path = scratch(spark)
+    files.write_parquet(_feature_rows(spark, folder), path, ["split"])
+    # Fitting passes over the train folder alone.
+    rows = spark.read.parquet(path)
+    state = fit_features(rows.where(F.col("split") == "train").drop("split"))
     found = transform_features(rows, state)
     if state.correlated != ["twice"]:
         raise AssertionError(f"pruned {state.correlated}")

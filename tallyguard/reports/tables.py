@@ -24,6 +24,7 @@ LEADERBOARD = {
 # Model families, service tiers by latency in milliseconds, and shown texts.
 FAMILIES = {
     "XGBoost": "Tree",
+    "BoostedTrees": "Tree",
     "RandomForest": "Tree",
     "CalibratedSVM": "Linear",
     "BiLSTM": "Recurrent",
