@@ -29,14 +29,20 @@ EXACT = 2.0**52
 
 
 def quantised(vector: str | Column, scale: int = 256) -> Column:
-    """floor(scale * x) of each component; null if any is null or not finite."""
+    """floor(scale * x) of each component; null if any is null or not finite.
+
+    Components so large that an inner product might not fit a long are an error.
+    """
     v = F.col(vector) if isinstance(vector, str) else vector
     wide = F.transform(v, lambda x: x.cast("double"))
     bad = F.exists(
         wide, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
     )
     whole = F.transform(wide, lambda x: F.floor(x * scale).cast("long"))
-    return F.when(v.isNotNull() & ~F.coalesce(bad, F.lit(True)), whole)
+    largest = F.floor(F.sqrt(F.lit(2.0**62) / F.greatest(F.size(v), F.lit(1))))
+    wild = F.exists(wide, lambda x: F.abs(x * scale) > largest)
+    checked = F.when(wild, F.raise_error(F.lit("vector components too large for whole-number scores")))
+    return F.when(v.isNotNull() & ~F.coalesce(bad, F.lit(True)), checked.otherwise(whole))
 
 
 def _vertical(block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +123,8 @@ def top_k(
     Components are floor(scale * x). Ties go to the smaller id; a query with fewer candidates
     gets all. Rows with a null key, a null vector, or a null or non-finite component take no
     part, and vectors meet only vectors of their length. Rows that repeat key and vector count
-    once, and a query never meets rows of its own key. Scores must fit a long. An empty table
+    once, and a query never meets rows of its own key. Scores that might not fit a long are an
+    error. An empty table
     gives an empty table. Other columns of ``df`` are not read.
     """
     rows = (

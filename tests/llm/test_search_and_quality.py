@@ -148,3 +148,11 @@ def test_toxic_documents_go_and_one_class_tells_nothing(spark, documents):
 def test_buckets_are_packed_and_read_again():
     for buckets in ([], [0], [65534, 65535, 65536, 262143], [131070], [196605, 262143]):
         assert _unpacked(_packed(np.array(buckets, np.int64))).tolist() == buckets
+
+
+def test_components_that_overflow_are_an_error(spark):
+    rows = [(i, [1.0, 2.0], 0) for i in range(4)] + [(4, [1e30, 0.0], 0)]
+    with pytest.raises(Exception, match="too large"):
+        topk.top_k(vectors(spark, rows), F.col("vec_id") % 2 == 0).collect()
+    found = topk.top_k(vectors(spark, rows[:4] + [(4, [4e6, 0.0], 0)]), F.col("vec_id") % 2 == 0).collect()
+    assert max(r.score for r in found) == 256 * 256 * 4_000_000
