@@ -91,39 +91,42 @@ def _exploded(texts: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def _added(joined: DataFrame) -> DataFrame:
-    """Rows (gram, batch, documents, value, seen) as partial sums per document."""
-    names = ["batch", "document", "key", "n_tokens", "value", "unseen"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    """Rows (gram, batch, documents, value, unseen) as one row of sums per document.
+
+    A batch's rows are brought together first, so a document's sums are complete in one task
+    and no partial sums per task and document are shuffled. A task holds two numbers for each
+    document of its batches.
+    """
+    names = ["key", "n_tokens", "value", "unseen"]
+    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        sums: dict[int, np.ndarray] = {}
+        abouts: dict[int, np.ndarray] = {}
 
-        def sums() -> pa.RecordBatch:
+        def fold() -> None:
             batch, document, value, unseen = (np.concatenate(c) for c in zip(*held))
-            order = np.lexsort((document, batch))
-            batch, document = batch[order], document[order]
-            new = np.concatenate([[True], (batch[1:] != batch[:-1]) | (document[1:] != document[:-1])])
-            first = np.flatnonzero(new)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(batch[first]),
-                    pa.array(document[first].astype(np.int64)),
-                    pa.nulls(len(first), pa.int64()),
-                    pa.nulls(len(first), pa.int64()),
-                    pa.array(np.add.reduceat(value[order], first)),
-                    pa.array(np.add.reduceat(unseen[order], first)),
-                ],
-                names,
-            )
+            for b in np.unique(batch).tolist():
+                mine = batch == b
+                at = document[mine].astype(np.int64)
+                size = int(at.max()) + 1
+                found = np.stack([np.bincount(at, v[mine], size) for v in (value, unseen)])
+                known = sums.get(b)
+                if known is None:
+                    sums[b] = found
+                elif known.shape[1] >= size:
+                    known[:, :size] += found
+                else:
+                    found[:, : known.shape[1]] += known
+                    sums[b] = found
 
         size = 0
         for rows in batches:
             gram = rows.column(0).to_numpy()
             for i in np.flatnonzero(gram < 0).tolist():
                 about = np.frombuffer(rows.column(2)[i].as_py(), np.int64).reshape(-1, 2)
-                n = len(about)
-                columns = [np.full(n, rows.column(1)[i].as_py()), np.arange(n), about[:, 0], about[:, 1], np.zeros(n), np.zeros(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+                abouts[rows.column(1)[i].as_py()] = about
             real = rows.filter(pa.array(gram >= 0))
             if not real.num_rows:
                 continue
@@ -139,14 +142,18 @@ def _added(joined: DataFrame) -> DataFrame:
             )
             size += int(times.sum())
             if size >= ADDED_ROWS:
-                yield sums()
+                fold()
                 held, size = [], 0
         if held:
-            yield sums()
+            fold()
+        for number, about in abouts.items():
+            # Every document has a bigram, that of its marks at least.
+            value, unseen = sums[number]
+            columns = (about[:, 0], about[:, 1], value, unseen)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-    return joined.mapInArrow(
-        add, "batch long, document long, key long, n_tokens long, value double, unseen double"
-    )
+    together = joined.repartition("batch")
+    return together.mapInArrow(add, "key long, n_tokens long, value double, unseen double")
 
 
 def score_documents(
@@ -192,16 +199,7 @@ def score_documents(
         )
     )
     joined = rows.join(table, "gram", "left").select("gram", "batch", "documents", "value", "unseen")
-    sums = written(
-        _added(joined)
-        .groupBy("batch", "document")
-        .agg(
-            F.max("key").alias("key"),
-            F.max("n_tokens").alias("n_tokens"),
-            F.sum("value").alias("value"),
-            F.sum("unseen").alias("unseen"),
-        )
-    )
+    sums = written(_added(joined))
     total = sums.agg(F.sum(F.col("n_tokens") + 1)).first()[0] or 1
     score = F.col("value") - F.col("unseen") * math.log(total)
     return sums.select(
