@@ -310,10 +310,20 @@ def link_documents(
     )
 
 
+def first_shared(mine: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """The smallest number that each sorted list of ``others`` shares with ``mine``."""
+    if not others:
+        return np.zeros(0, np.int64)
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+    starts = np.cumsum([0, *[len(o) for o in others[:-1]]])
+    return np.minimum.reduceat(np.where(mine[at] == flat, flat, np.iinfo(np.int64).max), starts)
+
+
 def _open_pairs(stars: DataFrame, found: DataFrame, done: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs of one signature in different components that were not compared yet and that
-    sizes and profiles allow. A signature's nodes meet in blocks of bounded size, and only
-    pairs that pass leave the task."""
+    sizes and profiles allow. A signature's nodes are dealt by hash into blocks of about MET
+    nodes, any two of which meet in one task, and only pairs that pass leave it."""
     label = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
     named = stars.join(label("b"), "b", "left").withColumn("c_b", F.coalesce("c_b", "b"))
     # A signature is open if two of its nodes other than the smallest are in two components.
@@ -323,23 +333,25 @@ def _open_pairs(stars: DataFrame, found: DataFrame, done: DataFrame, nodes: Data
         .where("low < high")
         .select("sig", F.ceil(F.col("m") / MET).cast("int").alias("blocks"))
     )
-    order = Window.partitionBy("sig").orderBy("node")
+    shared = written(named.join(open_, "sig").select("sig", "blocks", F.col("b").alias("node"), F.col("c_b").alias("c")))
+    # A pair meets in every signature it shares, and leaves only from the smallest of them.
+    lists = shared.groupBy("node").agg(F.sort_array(F.collect_list("sig")).alias("sigs"))
     members = (
-        named.join(open_, "sig")
-        .select("sig", "blocks", F.col("b").alias("node"), F.col("c_b").alias("c"))
-        .withColumn("mine", F.floor((F.row_number().over(order) - 1) / MET).cast("int"))
+        shared.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("sig", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "c")
         .join(nodes.select("node", "n", "profile"), "node")
+        .join(lists, "node")
     )
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def passed(rows: list[tuple]) -> pa.RecordBatch:
-            _, i, j, mine, node, c, n, profile = zip(*rows)
+            sig, i, j, mine, node, c, n, profile, sigs = zip(*rows)
             block, node, c, n = (np.array(v, np.int64) for v in (mine, node, c, n))
             profile = np.frombuffer(b"".join(profile), np.uint8).reshape(-1, PROFILE)
+            sigs = [np.array(v, np.int64) for v in sigs]
             first, second = [], []
             for r in np.flatnonzero(block == i[0]).tolist():
                 to = np.flatnonzero((block == j[0]) & (node > node[r]) & (c != c[r])) if i[0] == j[0] else (
@@ -348,7 +360,9 @@ def _open_pairs(stars: DataFrame, found: DataFrame, done: DataFrame, nodes: Data
                 limit = (n[to] + n[r]) * (100 - percent) // (100 + percent)
                 to, limit = to[np.abs(n[to] - n[r]) <= limit], limit[np.abs(n[to] - n[r]) <= limit]
                 apart = np.maximum(profile[to], profile[r]) - np.minimum(profile[to], profile[r])
-                near = node[to[apart.sum(1, dtype=np.int64) <= limit]]
+                to = to[apart.sum(1, dtype=np.int64) <= limit]
+                to = to[first_shared(sigs[r], [sigs[t] for t in to]) == sig[0]]
+                near = node[to]
                 first.append(np.minimum(near, node[r]))
                 second.append(np.maximum(near, node[r]))
             whole = [np.concatenate(v) if v else np.zeros(0, np.int64) for v in (first, second)]
@@ -365,7 +379,7 @@ def _open_pairs(stars: DataFrame, found: DataFrame, done: DataFrame, nodes: Data
             yield passed(held)
 
     cells = ["sig", "i", "j"]
-    dealt = members.select(*cells, "mine", "node", "c", "n", "profile").repartition(*cells).sortWithinPartitions(*cells)
+    dealt = members.select(*cells, "mine", "node", "c", "n", "profile", "sigs").repartition(*cells).sortWithinPartitions(*cells)
     return dealt.mapInArrow(meet, "a long, b long").distinct().join(done, ["a", "b"], "left_anti")
 
 

@@ -53,6 +53,17 @@ def test_components_equal_all_pairs(documents, size, percent, seed, monkeypatch)
     )
 
 
+def test_first_shared_number():
+    rng = random.Random(1)
+    lists = [np.array(sorted(rng.sample(range(-40, 40), rng.randint(1, 9))), np.int64) for _ in range(200)]
+    for mine in lists[:20]:
+        found = jaccard.first_shared(mine, lists)
+        for other, value in zip(lists, found):
+            common = set(mine.tolist()) & set(other.tolist())
+            assert value == (min(common) if common else np.iinfo(np.int64).max)
+    assert len(jaccard.first_shared(lists[0], [])) == 0
+
+
 def test_any_plan_finds_every_linked_pair():
     rng = np.random.default_rng(2)
     for _ in range(400):
