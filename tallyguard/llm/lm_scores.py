@@ -91,7 +91,9 @@ def _exploded(texts: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def _added(joined: DataFrame) -> DataFrame:
-    """Rows (gram, batch, documents, value, unseen) as one row of sums per document.
+    """Rows (head, batch, documents, value, unseen) as one row of sums per document.
+
+    ``head`` marks a batch's list of documents.
 
     A batch's rows are brought together first, so a document's sums are complete in one task
     and no partial sums per task and document are shuffled. A task holds two numbers for each
@@ -123,11 +125,11 @@ def _added(joined: DataFrame) -> DataFrame:
 
         size = 0
         for rows in batches:
-            gram = rows.column(0).to_numpy()
-            for i in np.flatnonzero(gram < 0).tolist():
+            head = rows.column(0).to_numpy(zero_copy_only=False)
+            for i in np.flatnonzero(head).tolist():
                 about = np.frombuffer(rows.column(2)[i].as_py(), np.int64).reshape(-1, 2)
                 abouts[rows.column(1)[i].as_py()] = about
-            real = rows.filter(pa.array(gram >= 0))
+            real = rows.filter(pa.array(~head))
             if not real.num_rows:
                 continue
             documents = [np.frombuffer(d, "<u2") for d in real.column(2).to_pylist()]
@@ -198,7 +200,9 @@ def score_documents(
             .alias("value"),
         )
     )
-    joined = rows.join(table, "gram", "left").select("gram", "batch", "documents", "value", "unseen")
+    joined = rows.join(table, "gram", "left").select(
+        (F.col("gram") < 0).alias("head"), "batch", "documents", "value", "unseen"
+    )
     sums = written(_added(joined))
     total = sums.agg(F.sum(F.col("n_tokens") + 1)).first()[0] or 1
     score = F.col("value") - F.col("unseen") * math.log(total)
