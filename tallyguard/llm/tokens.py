@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyguard.llm.common import free_name
+
 #: Characters per call of the tokenizer, and pieces in each of a worker's two tables.
 CALL_SIZE = 1 << 18
 KEPT_PIECES = 500_000
@@ -154,16 +156,17 @@ def count_tokens(
     """
     new = {"n_bytes", into.lower(), "over_limit"}
     rest = [c for c in df.columns if c != text and c.lower() not in new]
+    held = free_name(df, "_tokens_text")
     sized = df.select(
         *[F.col(f"`{c}`") for c in rest],
         F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"),
-        F.col(text).cast("string").alias("_tokens_text"),
+        F.col(text).cast("string").alias(held),
     )
-    schema = sized.drop("_tokens_text").schema.add(into, "long")
+    schema = sized.drop(held).schema.add(into, "long")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = token_counts(batch.column("_tokens_text").to_pylist(), path)
+            counts = token_counts(batch.column(held).to_pylist(), path)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(counts, pa.int64())],
                 [*batch.schema.names[:-1], into],

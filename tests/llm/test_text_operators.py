@@ -252,3 +252,13 @@ def test_surrogate_cards_stay_cards():
     for attempt in range(50):
         assert pii._is_card(pii.surrogate(KEY, "card", "2223003122003222", attempt))
     assert not pii.entities("2820 0031 2200 3222")
+
+
+def test_token_counts_with_clashing_columns(documents):
+    df = documents([(1, "two words"), (2, None)]).withColumns(
+        {c: F.lit("x") for c in ("_tokens_text", "__tokens_text", "N_BYTES", "over_limit")}
+    )
+    for rows in (df, df.limit(0)):
+        found = tokens.count_tokens(rows, public_tokenizers.path("word_bpe_49k.json"))
+        assert [r["_tokens_text"] for r in found.collect()] == ["x"] * rows.count()
+        assert found.columns.count("n_bytes") == 1
