@@ -190,6 +190,7 @@ def _signature_lists(df: DataFrame, size: int, plans: list[Plan]) -> DataFrame:
     lows = np.array([p.low for p in plans])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             lists = []
             for value in batch.column(1).to_pylist():
@@ -214,6 +215,7 @@ def _close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that sizes and profiles allow to be linked."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
             a, b = (
@@ -236,6 +238,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, p
     texts = _picked(texts, ends, "left_semi")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         last, left = None, set()
         for batch in batches:
             keep = []
@@ -310,6 +313,12 @@ def link_documents(
     )
 
 
+def arrays_of(column: pa.ListArray) -> list[np.ndarray]:
+    """Each list of numbers, copied out of its batch."""
+    ends, values = column.offsets.to_numpy(), column.values.to_numpy()
+    return [values[a:b].copy() for a, b in zip(ends[:-1], ends[1:])]
+
+
 def first_shared(mine: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     """The smallest number that each sorted list of ``others`` shares with ``mine``."""
     if not others:
@@ -345,13 +354,13 @@ def _open_pairs(stars: DataFrame, found: DataFrame, done: DataFrame, nodes: Data
     )
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held: list[tuple] = []
 
         def passed(rows: list[tuple]) -> pa.RecordBatch:
             sig, i, j, mine, node, c, n, profile, sigs = zip(*rows)
             block, node, c, n = (np.array(v, np.int64) for v in (mine, node, c, n))
             profile = np.frombuffer(b"".join(profile), np.uint8).reshape(-1, PROFILE)
-            sigs = [np.array(v, np.int64) for v in sigs]
             first, second = [], []
             for r in np.flatnonzero(block == i[0]).tolist():
                 to = np.flatnonzero((block == j[0]) & (node > node[r]) & (c != c[r])) if i[0] == j[0] else (
@@ -369,7 +378,9 @@ def _open_pairs(stars: DataFrame, found: DataFrame, done: DataFrame, nodes: Data
             return pa.RecordBatch.from_arrays([pa.array(v) for v in whole], ["a", "b"])
 
         for batch in batches:
-            for row in zip(*(column.to_pylist() for column in batch.columns)):
+            # The lists stay numbers of eight bytes; as Python's they would take five times that.
+            lists_ = arrays_of(batch.column(8))
+            for row in zip(*(column.to_pylist() for column in batch.columns[:8]), lists_):
                 if held and row[:3] != held[-1][:3]:
                     if len(held) > 1:
                         yield passed(held)

@@ -11,6 +11,7 @@ others in batches of about equal bytes.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -89,6 +90,7 @@ class PieceTable:
 
 
 _TABLES: dict[tuple, PieceTable] = {}
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
 
 
 def _as_bytes(ids: list[int]) -> bytes:
@@ -104,8 +106,13 @@ def _table(path: str, value: Callable) -> PieceTable:
 
 
 def forget() -> None:
-    """Give this worker's tables back; operators that follow on packing call it."""
+    """Give back this worker's tables and what Arrow holds for reuse, often more than the tables;
+    operators that follow on others call it."""
     _TABLES.clear()
+    pa.default_memory_pool().release_unused()
+    # Freed memory between pieces in use stays with the process unless the C library trims it.
+    if _trim:
+        _trim(0)
 
 
 def balanced(texts: list, most: int = 1 << 22) -> Iterator[tuple[int, int]]:

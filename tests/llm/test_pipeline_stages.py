@@ -4,6 +4,7 @@ import random
 import re
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -127,3 +128,20 @@ def test_packing_is_whole_on_odd_tables(spark, documents, folder):
             at += length
         assert at <= 2048
     assert STAGES["packing"](spark, documents([]), folder).count() == 0
+
+
+def test_batches_of_long_texts_are_bounded_in_bytes(spark, documents, folder):
+    STAGES["decontamination"](spark, documents(rows()), folder)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["size"])
+
+    long = documents([(i, "x" * 1_000_000) for i in range(40)]).coalesce(1).select("text")
+    assert max(r[0] for r in long.mapInArrow(sizes, "size long").collect()) < 12_000_000
+
+
+def test_lists_leave_their_batch_as_numbers():
+    column = pa.array([[1, 2], [], [-(1 << 63)]], pa.list_(pa.int64())).slice(1)
+    found = jaccard.arrays_of(column)
+    assert [a.tolist() for a in found] == [[], [-(1 << 63)]] and all(a.base is None for a in found)
