@@ -41,13 +41,28 @@ def pieces_of(text: str) -> list[str]:
     return _PIECES(text)
 
 
+class Places(dict):
+    """Values by piece; a piece that is neither here nor in ``old`` gets an empty place, which is
+    also put into ``fresh``."""
+
+    old: dict = {}
+    fresh: dict = {}
+
+    def __missing__(self, piece: str) -> bytes | bytearray:
+        value = self.old.get(piece)
+        if value is None:
+            value = self.fresh[piece] = bytearray()
+        self[piece] = value
+        return value
+
+
 class PieceTable:
     """What a worker knows about pieces: their number of tokens, or their ids."""
 
     def __init__(self, path: str, value: Callable):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.value = value
-        self.known: dict[str, object] = {}
+        self.known = Places()
         self.old: dict[str, object] = {}
         self.sentences = path.endswith(".model")
         if self.sentences:
@@ -61,10 +76,25 @@ class PieceTable:
             self.model.no_truncation()
             self.model.no_padding()
 
-    def _ids(self, pieces: list[str]) -> list[list[int]]:
+    def _ids(self, pieces: list[str]) -> Iterator[list[int]]:
+        """One list at a time: many at once make Python look for garbage again and again."""
         if self.sentences:
-            return self.model.encode(pieces, num_threads=1)
-        return [e.ids for e in self.model.encode_batch_fast(pieces, add_special_tokens=False)]
+            return iter(self.model.encode(pieces, num_threads=1))
+        return (e.ids for e in self.model.encode_batch_fast(pieces, add_special_tokens=False))
+
+    def _encoded(self, pieces: list[str]) -> Iterator[tuple[str, list[int]]]:
+        """Each piece with its ids, in calls of about CALL_SIZE characters."""
+        start = size = 0
+        for i, piece in enumerate(pieces):
+            size += len(piece)
+            if size >= CALL_SIZE or i + 1 == len(pieces):
+                part = pieces[start : i + 1]
+                yield from zip(part, self._ids(part))
+                start, size = i + 1, 0
+
+    def _turn(self, kept: int) -> None:
+        if len(self.known) > kept:
+            self.old, self.known = self.known, Places()
 
     def cut(self, text: str) -> list[str]:
         # White space is part of a sentence model's pieces, so its texts stay whole.
@@ -72,22 +102,40 @@ class PieceTable:
 
     def learn(self, pieces: list[list[str]]) -> dict:
         """A table with all these pieces: the latest one, to which they are added."""
-        if len(self.known) > KEPT_PIECES:
-            self.old, self.known = self.known, {}
+        self._turn(KEPT_PIECES)
         known, old = self.known, self.old
         new = set().union(*pieces).difference(known)
         for piece in new.intersection(old):
             known[piece] = old[piece]
-        fresh = list(new.difference(old))
-        once, start, size = {}, 0, 0
-        for i, piece in enumerate(fresh):
-            size += len(piece)
-            if size >= CALL_SIZE or i + 1 == len(fresh):
-                for p, ids in zip(fresh[start : i + 1], self._ids(fresh[start : i + 1])):
-                    (known if len(p) <= KEPT_LENGTH else once)[p] = self.value(ids)
-                start, size = i + 1, 0
+        once = {}
+        for piece, ids in self._encoded(list(new.difference(old))):
+            (known if len(piece) <= KEPT_LENGTH else once)[piece] = self.value(ids)
         return {**known, **once} if once else known
 
+    def joined(self, texts: list, kept: int | None = None) -> list[bytes]:
+        """The values of each text's pieces, which are bytes, joined; null has none.
+
+        Every piece is looked up once. What is not known is an empty place until all texts are
+        looked up, and is then filled.
+        """
+        self._turn(kept or KEPT_PIECES)
+        known, fresh = self.known, {}
+        known.old, known.fresh = self.old, fresh
+        try:
+            places = [list(map(known.__getitem__, self.cut(t))) if t else [] for t in texts]
+            for piece, ids in self._encoded(list(fresh)):
+                place = fresh[piece]
+                place += self.value(ids)
+            whole = [b"".join(p) for p in places]
+            for piece in [p for p in fresh if len(p) <= KEPT_LENGTH]:
+                known[piece] = bytes(fresh.pop(piece))
+        finally:
+            # Long pieces, or after an error all that may be empty still.
+            for piece in fresh:
+                known.pop(piece, None)
+            known.old = known.fresh = {}
+        return whole
+
 
 _TABLES: dict[tuple, PieceTable] = {}
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
@@ -138,13 +186,14 @@ def token_counts(texts: list, path: str) -> list[int]:
     return counts
 
 
-def token_bytes(texts: list, path: str) -> Iterator[bytes]:
-    """The ids of each text as little-endian unsigned 32-bit integers; null has none."""
+def token_bytes(texts: list, path: str, kept: int | None = None) -> Iterator[bytes]:
+    """The ids of each text as little-endian unsigned 32-bit integers; null has none.
+
+    ``kept`` is the number of pieces in each of the worker's two tables, KEPT_PIECES if not given.
+    """
     pieces = _table(path, _as_bytes)
     for a, b in balanced(texts):
-        cut = [pieces.cut(t) if t else [] for t in texts[a:b]]
-        known = pieces.learn(cut).__getitem__
-        yield from [b"".join(map(known, c)) for c in cut]
+        yield from pieces.joined(texts[a:b], kept)
 
 
 def count_tokens(

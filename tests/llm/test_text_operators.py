@@ -262,3 +262,20 @@ def test_token_counts_with_clashing_columns(documents):
         found = tokens.count_tokens(rows, public_tokenizers.path("word_bpe_49k.json"))
         assert [r["_tokens_text"] for r in found.collect()] == ["x"] * rows.count()
         assert found.columns.count("n_bytes") == 1
+
+
+def test_a_piece_is_looked_up_once_and_a_failure_leaves_no_empty_place(monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT_PIECES", 5)
+    table = tokens.PieceTable(BYTE, tokens._as_bytes)
+    want = [np.array(TOKENIZERS[BYTE].encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in ODD]
+    for _ in range(3):
+        assert table.joined([*ODD, None]) == [*want, b""]
+        assert all(type(v) is bytes for v in table.known.values()) and not table.known.old
+        assert max(map(len, table.known)) <= tokens.KEPT_LENGTH
+    encode = table._ids
+    monkeypatch.setattr(table, "_ids", lambda pieces: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        table.joined(["words never seen before"])
+    monkeypatch.setattr(table, "_ids", encode)
+    text = "words never seen before"
+    assert table.joined([text]) == [np.array(TOKENIZERS[BYTE].encode(text).ids, "<u4").tobytes()]
