@@ -25,6 +25,8 @@ from tallyguard.llm.tokens import token_bytes
 CAPACITY = 2048
 #: Remains in a group, on average. Each group leaves one window open, so its padding is small.
 GROUP_ROWS = 8192
+#: Pieces in each of a worker's two tables; workers also carry what the stages before have left.
+KEPT_PIECES = 250_000
 
 
 def fill_counts(lengths: dict[int, int], capacity: int) -> dict[int, int]:
@@ -92,7 +94,7 @@ def cut_pieces(
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             place, start, length, check, total = [], [], [], [], []
-            for row, ids in enumerate(token_bytes(batch.column(1).to_pylist(), path)):
+            for row, ids in enumerate(token_bytes(batch.column(1).to_pylist(), path, KEPT_PIECES)):
                 ids += end
                 for at in range(0, len(ids), wide):
                     piece = ids[at : at + wide]
