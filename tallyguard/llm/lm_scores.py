@@ -4,8 +4,9 @@ Tokens are ids of a public tokenizer, with a start mark before and an end mark b
 document. Every batch of documents is exploded into its bigrams; a row is a bigram of the
 batch with the documents that hold it, once for each time. These rows are partitioned by
 bigram; the count table is summed there and joined back to them, and the counts of single
-tokens, at most as many as the tokenizer has, are sent to all workers. What each task adds up
-for a document is summed per document.
+tokens, at most as many as the tokenizer has, are sent to all workers. The joined rows carry
+the two counts that make a score; as small whole numbers they are packed a little better on
+their way than the score is. What each task adds up for a document is summed per document.
 
     score(a b) = count(a b) / count(a)          if count(a b) >= least
                  backoff * count(b) / total     otherwise
@@ -90,10 +91,16 @@ def _exploded(texts: DataFrame, tokenizer: str) -> DataFrame:
     return texts.mapInArrow(explode, "gram long, batch long, times long, documents binary")
 
 
-def _added(joined: DataFrame) -> DataFrame:
-    """Rows (head, batch, documents, value, unseen) as one row of sums per document.
+def log_scores(both: np.ndarray, base: np.ndarray, backoff: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms of bigrams' scores, without the total for unseen ones, and which are unseen."""
+    unseen = both < least
+    return np.log(np.where(unseen, base * backoff, both / base)), unseen
 
-    ``head`` marks a batch's list of documents.
+
+def _added(joined: DataFrame, backoff: float, least: int) -> DataFrame:
+    """Rows (batch, documents, both, base) as one row of sums per document.
+
+    A row without counts is a batch's list of documents.
 
     A batch's rows are brought together first, so a document's sums are complete in one task
     and no partial sums per task and document are shuffled. A task holds two numbers for each
@@ -125,21 +132,22 @@ def _added(joined: DataFrame) -> DataFrame:
 
         size = 0
         for rows in batches:
-            head = rows.column(0).to_numpy(zero_copy_only=False)
+            head = rows.column(2).is_null().to_numpy(zero_copy_only=False)
             for i in np.flatnonzero(head).tolist():
-                about = np.frombuffer(rows.column(2)[i].as_py(), np.int64).reshape(-1, 2)
-                abouts[rows.column(1)[i].as_py()] = about
+                about = np.frombuffer(rows.column(1)[i].as_py(), np.int64).reshape(-1, 2)
+                abouts[rows.column(0)[i].as_py()] = about
             real = rows.filter(pa.array(~head))
             if not real.num_rows:
                 continue
-            documents = [np.frombuffer(d, "<u2") for d in real.column(2).to_pylist()]
+            documents = [np.frombuffer(d, "<u2") for d in real.column(1).to_pylist()]
             times = np.array([len(d) for d in documents])
+            value, unseen = log_scores(real.column(2).to_numpy(), real.column(3).to_numpy(), backoff, least)
             held.append(
                 (
-                    np.repeat(real.column(1).to_numpy(), times),
+                    np.repeat(real.column(0).to_numpy(), times),
                     np.concatenate(documents),
-                    np.repeat(real.column(3).to_numpy(), times),
-                    np.repeat(real.column(4).to_numpy(zero_copy_only=False).astype(float), times),
+                    np.repeat(value, times),
+                    np.repeat(unseen.astype(float), times),
                 )
             )
             size += int(times.sum())
@@ -176,7 +184,7 @@ def score_documents(
     bounded_batches(spark, 4096)
     texts = df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     # Written, because both the count table and the join read the exploded rows.
-    rows = written(_exploded(texts, tokenizer))
+    rows = written(_exploded(texts, tokenizer), compression="zstd")
     counts = written(rows.where("gram >= 0").groupBy("gram").agg(F.sum("times").alias("both")))
     # One row per token of the tokenizer and the start mark: a bounded table.
     singles = F.broadcast(
@@ -191,19 +199,10 @@ def score_documents(
         .withColumn("second", F.when(second == END, START).otherwise(second))
         .join(before, "first")
         .join(behind, "second")
-        .withColumn("unseen", F.col("both") < least)
-        .select(
-            "gram",
-            "unseen",
-            F.when(F.col("unseen"), F.log(F.col("n_second") * backoff))
-            .otherwise(F.log(F.col("both") / F.col("n_first")))
-            .alias("value"),
-        )
-    )
-    joined = rows.join(table, "gram", "left").select(
-        (F.col("gram") < 0).alias("head"), "batch", "documents", "value", "unseen"
+        .select("gram", "both", F.when(F.col("both") < least, F.col("n_second")).otherwise(F.col("n_first")).alias("base"))
     )
-    sums = written(_added(joined))
+    joined = rows.join(table, "gram", "left").select("batch", "documents", "both", "base")
+    sums = written(_added(joined, backoff, least))
     total = sums.agg(F.sum(F.col("n_tokens") + 1)).first()[0] or 1
     score = F.col("value") - F.col("unseen") * math.log(total)
     return sums.select(

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyguard.llm import topk
+from tallyguard.llm.lm_scores import log_scores
 from tallyguard.llm.quality import MEASURES, _packed, _unpacked, keep_quality, measures_of, score_quality
 
 
@@ -156,3 +157,10 @@ def test_components_that_overflow_are_an_error(spark):
         topk.top_k(vectors(spark, rows), F.col("vec_id") % 2 == 0).collect()
     found = topk.top_k(vectors(spark, rows[:4] + [(4, [4e6, 0.0], 0)]), F.col("vec_id") % 2 == 0).collect()
     assert max(r.score for r in found) == 256 * 256 * 4_000_000
+
+
+def test_scores_come_from_two_counts():
+    both, base = np.array([1, 2, 5]), np.array([8, 4, 10])
+    value, unseen = log_scores(both, base, 0.4, 2)
+    assert unseen.tolist() == [True, False, False]
+    assert np.allclose(value, np.log([0.4 * 8, 2 / 4, 5 / 10]), atol=1e-12)
