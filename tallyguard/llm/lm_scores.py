@@ -77,7 +77,7 @@ def _exploded(texts: DataFrame, tokenizer: str) -> DataFrame:
         number = TaskContext.get().partitionId() << 32
         keys, ids, held = [], [], 0
         for batch in batches:
-            texts_ids = token_bytes(batch.column(1).to_pylist(), tokenizer)
+            texts_ids = token_bytes(batch.column(1), tokenizer)
             for key, data in zip(batch.column(0).to_pylist(), texts_ids):
                 keys.append(_NO_KEY if key is None else key)
                 ids.append(np.frombuffer(data, "<u4"))

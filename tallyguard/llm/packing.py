@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tallyguard.llm.common import free_name, written
+from tallyguard.llm.common import bounded_batches, free_name, written
 from tallyguard.llm.tokens import token_bytes
 
 CAPACITY = 2048
@@ -94,7 +94,7 @@ def cut_pieces(
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             place, start, length, check, total = [], [], [], [], []
-            for row, ids in enumerate(token_bytes(batch.column(1).to_pylist(), path, KEPT_PIECES)):
+            for row, ids in enumerate(token_bytes(batch.column(1), path, KEPT_PIECES)):
                 ids += end
                 for at in range(0, len(ids), wide):
                     piece = ids[at : at + wide]
@@ -131,6 +131,7 @@ def pack_documents(
     or empty text is its end id alone. Repeated rows are documents of their own, null keys are
     kept, and an empty table gives no pieces. Other columns take no part.
     """
+    bounded_batches(df.sparkSession, 4096)
     pieces = written(cut_pieces(df, path, key, text, end_id, capacity))
     row = free_name(pieces, "_row")
     numbered = pieces.withColumn(row, F.monotonically_increasing_id())

@@ -6,6 +6,7 @@ import string
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -279,3 +280,36 @@ def test_a_piece_is_looked_up_once_and_a_failure_leaves_no_empty_place(monkeypat
     monkeypatch.setattr(table, "_ids", encode)
     text = "words never seen before"
     assert table.joined([text]) == [np.array(TOKENIZERS[BYTE].encode(text).ids, "<u4").tobytes()]
+
+
+def test_pieces_of_a_batch_are_those_of_each_text():
+    """The pattern says in one line what the bytes of a whole batch are cut by."""
+    odd = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+    cut = re.compile(r"[ \n]?[A-Za-zÀ-ÖØ-öø-ÿ]++(?![\x80-\U0010ffff])|\s*\S+|\s+").findall
+    draw = random.Random(5)
+    signs = [*"aabEcéÉß×÷ \n\t\r  .,'-1<", "日", "\u0301", "\xa0", "\u2009", "\x85", "\x1c", "🙂", " word", "\nWord"]
+    texts = ["".join(draw.choices(signs, k=draw.randrange(16))) for _ in range(4000)]
+    texts = [None, *texts, *ODD, "", None]
+    for part in (texts, texts[7:90], [None, ""], []):
+        held = pa.array(["before", *part, "behind"])[1 : len(part) + 1]
+        pieces, firsts = tokens.pieces_of(held)
+        want = [[] if not t else [t] if odd.search(t) else cut(t) for t in part]
+        assert pieces.to_pylist() == [p for w in want for p in w]
+        assert np.diff(firsts).tolist() == [*map(len, want)]
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_unseen_words_are_encoded_many_to_a_string(path):
+    draw = random.Random(6)
+    words = ["".join(draw.choices("abcdefghijÉéßüñ", k=draw.randrange(2, 12))) for _ in range(1000)]
+    text = "".join(draw.choice(" \n") + draw.choice([w, w.capitalize()]) for w in words)
+    want = np.array(TOKENIZERS[path].encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    table, strings = tokens.PieceTable(path, tokens._as_bytes), []
+    encode = table._ids
+    table._ids = lambda pieces: strings.extend(pieces) or encode(pieces)
+    assert table.joined([text, None]) == [want, b""]
+    assert len(strings) < 20
+    # Where the bytes of the tokens do not end with a word, words are encoded alone.
+    table.known.clear()
+    table.sizes = table.sizes + 1
+    assert table.joined([text]) == [want] and len(strings) > 900
