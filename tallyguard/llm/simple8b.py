@@ -31,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyguard.llm.common import bounded_batches
 from tallyguard.llm.tokens import token_bytes
 from tallyguard.session import shared_folder
 
@@ -184,6 +185,7 @@ def write_token_files(
     keys; its blocks follow each other and hold whole documents.
     """
     spark = df.sparkSession
+    bounded_batches(spark, 4096)
     path = f"{shared_folder(spark)}/llm/ids-{uuid.uuid4().hex}"
     sorted_ = (
         df.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(text).cast("string").alias("t"))
@@ -207,7 +209,7 @@ def write_token_files(
 
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for name, data in zip(names, token_bytes(batch.column(1).to_pylist(), tokenizer)):
+            for name, data in zip(names, token_bytes(batch.column(1), tokenizer)):
                 keys.append(name)
                 ids.append(np.frombuffer(data + end, "<u4").astype(np.uint64))
                 held += len(ids[-1])

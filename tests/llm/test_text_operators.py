@@ -313,3 +313,13 @@ def test_unseen_words_are_encoded_many_to_a_string(path):
     table.known.clear()
     table.sizes = table.sizes + 1
     assert table.joined([text]) == [want] and len(strings) > 900
+
+
+def test_token_files_take_batches_of_thousands_of_texts(spark, documents):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    texts = [*ODD, None, " straße Ünder ñandú" * 40]
+    path = simple8b.write_token_files(documents(list(enumerate(texts))), BYTE, 2)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "4096"
+    want = [[*TOKENIZERS[BYTE].encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    found = simple8b.read_token_files(spark, path).orderBy("doc_id").collect()
+    assert [r["ids"] for r in found] == want
