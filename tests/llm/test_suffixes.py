@@ -102,3 +102,25 @@ def test_texts_of_null_ids_are_looked_up(documents):
 def test_empty_table(documents):
     assert suffix_dedup.count_repeats(documents([])).count() == 0
     assert suffix_dedup.remove_repeats(documents([])).count() == 0
+
+
+def test_query_takes_passages_of_51_words_by_their_bytes(spark, folder, tmp_path):
+    """The contract counts bytes: 400 that occur twice go, 399 stay, whatever the number of words."""
+    import __spark_entry__ as contract
+
+    rng = random.Random(7)
+    shape = lambda letters: [letters // 51 + (i < letters % 51) for i in range(51)]
+    short, enough = (
+        " ".join("".join(rng.choice("abcdefgh") for _ in range(n)) for n in shape(letters)) for letters in (349, 350)
+    )
+    assert (len(short), len(enough)) == (399, 400)
+    rows = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    top = max(r.doc_id for r in rows)
+    planted = [f"1{short}2", f"3{short}4", f"5{enough}6", f"7{enough}8"]
+    more = [(top + 1 + i, t, "en", "src0", len(t)) for i, t in enumerate(planted)]
+    whole = spark.createDataFrame([tuple(r) for r in rows] + more, spark.createDataFrame(rows).schema)
+    whole.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r)[:5] for r in contract.queries()["op3_suffix_dedup"](spark, str(tmp_path)).collect())
+    inputs = sorted((r.doc_id, r.text) for r in whole.collect())
+    assert got == [(i, *w) for (i, _), w in zip(inputs, plain([t for _, t in inputs], 400))]
+    assert [g[2] for g in got[-4:]] == [0, 0, 400, 400]
