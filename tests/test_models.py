@@ -1,6 +1,7 @@
 """Model contracts: probabilities, weights, calibration, early stopping, saving."""
 
 import random
+import threading
 
 import numpy as np
 import pytest
@@ -137,3 +138,21 @@ def test_sequence_network_separates_windows(spark):
     assert len(df.first()["features"]) == 170
     scored = SequenceNetwork(hidden=(8,), max_iter=40).fit(df).score(df)
     assert ranking_metrics(scored, "isFraud", "p").first()["roc_auc"] >= 0.95
+
+
+def test_svm_folds_are_fitted_side_by_side(rows, monkeypatch):
+    alone = CalibratedSvm(max_iter=5)
+    parts = rows.selectExpr("features", "cast(isFraud as double) AS label", "TransactionID")
+    fold = "cast(pmod(xxhash64(TransactionID, 42), 3) as int) AS fold"
+    wanted = [alone._fit_fold(parts.selectExpr("*", fold), i) for i in range(3)]
+    meet, plain = threading.Barrier(3, timeout=60), CalibratedSvm._fit_fold
+
+    def fit_fold(self, *given):
+        meet.wait()
+        return plain(self, *given)
+
+    monkeypatch.setattr(CalibratedSvm, "_fit_fold", fit_fold)
+    found = CalibratedSvm(max_iter=5).fit(rows).pairs
+    for (svm, platt), (svm_alone, platt_alone) in zip(found, wanted, strict=True):
+        assert svm.coefficients.toArray() == pytest.approx(svm_alone.coefficients.toArray(), rel=1e-9)
+        assert platt.coefficients.toArray() == pytest.approx(platt_alone.coefficients.toArray(), rel=1e-6)
