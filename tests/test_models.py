@@ -156,3 +156,12 @@ def test_svm_folds_are_fitted_side_by_side(rows, monkeypatch):
     for (svm, platt), (svm_alone, platt_alone) in zip(found, wanted, strict=True):
         assert svm.coefficients.toArray() == pytest.approx(svm_alone.coefficients.toArray(), rel=1e-9)
         assert platt.coefficients.toArray() == pytest.approx(platt_alone.coefficients.toArray(), rel=1e-6)
+
+
+def test_a_forest_that_remembers_nodes_grows_the_same_trees(rows, monkeypatch):
+    remembering = Forest(trees=5, max_depth=6).fit(rows).model
+    monkeypatch.setattr(classifiers, "REMEMBERED_PAIRS", 400 * 5 - 1)
+    walking = Forest(trees=5, max_depth=6).fit(rows).model
+    assert remembering.getCacheNodeIds() and not walking.getCacheNodeIds()
+    body = [m.toDebugString.split("\n", 1)[1] for m in (remembering, walking)]
+    assert body[0] == body[1]
