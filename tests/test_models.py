@@ -5,7 +5,8 @@ import threading
 
 import numpy as np
 import pytest
-from tallyguard.models import classifiers
+from pyspark.ml.classification import RandomForestClassifier
+from tallyguard.models import classifiers, large_forest
 from tallyguard.models.classifiers import (
     BoostedTrees,
     CalibratedSvm,
@@ -16,7 +17,7 @@ from tallyguard.models.classifiers import (
     flat_window,
 )
 from tallyguard.models.search import draw_settings
-from tallyguard.models.weights import class_weight_table
+from tallyguard.models.weights import class_weight_table, with_weight
 from tallyguard.operators.latent import as_vector
 from tallyguard.operators.metrics import ranking_metrics
 
@@ -158,10 +159,87 @@ def test_svm_folds_are_fitted_side_by_side(rows, monkeypatch):
         assert platt.coefficients.toArray() == pytest.approx(platt_alone.coefficients.toArray(), rel=1e-6)
 
 
-def test_a_forest_that_remembers_nodes_grows_the_same_trees(rows, monkeypatch):
+def test_a_forest_that_remembers_nodes_grows_the_same_trees(rows):
     remembering = Forest(trees=5, max_depth=6).fit(rows).model
-    monkeypatch.setattr(classifiers, "REMEMBERED_PAIRS", 400 * 5 - 1)
-    walking = Forest(trees=5, max_depth=6).fit(rows).model
+    weighted = with_weight(rows.selectExpr("features", "cast(isFraud as double) AS label"), "label", "balanced")
+    plain = RandomForestClassifier(numTrees=5, maxDepth=6, minInstancesPerNode=4, weightCol="weight", seed=42)
+    walking = plain.fit(weighted)
     assert remembering.getCacheNodeIds() and not walking.getCacheNodeIds()
     body = [m.toDebugString.split("\n", 1)[1] for m in (remembering, walking)]
     assert body[0] == body[1]
+
+
+def test_bin_edges():
+    one = np.ones(1000)
+    assert large_forest.bin_edges(np.array([3.0, 1.0, 1.0, np.nan]), one[:4]).tolist() == [2.0]
+    assert large_forest.bin_edges(np.full(5, 7.0), one[:5]).tolist() == []
+    edges = large_forest.bin_edges(np.arange(1000.0), one)
+    shares = np.diff(np.searchsorted(np.arange(1000.0), [-1, *edges, 1000]))
+    assert len(edges) == 31 and min(shares) >= 30 and max(shares) <= 33
+    # A value that holds most of the weight has a bin of its own, and what follows it has fine ones.
+    crowded = large_forest.bin_edges(np.maximum(np.arange(1000.0), 900), one)
+    assert crowded[:3].tolist() == [900.5, 901.5, 902.5] and len(crowded) == 31
+
+
+def test_best_splits_of_counts_equal_a_plain_loop(spark):
+    rng = np.random.default_rng(8)
+    counts, weights, least = rng.integers(0, 9, size=(5, 2, 4, 2)), (0.6, 3.0), 4
+    counts[:, 1] = counts[:, 0, ::-1]
+    halves = [counts // 2, counts - counts // 2]
+    parts = spark.createDataFrame([(0, bytearray(h.astype("uint32").tobytes())) for h in halves], "tree int, counts binary")
+    found = large_forest._splits(parts.repartition(2), {0: 2}, 4, weights, least, 2).first()
+    table = np.frombuffer(bytes(found["splits"])).reshape(-1, 7)
+
+    def gini(c):
+        w = c * np.array(weights)
+        return 1 - ((w / w.sum()) ** 2).sum(), w.sum()
+
+    for node, (j, cut, gain, n0, n1, l0, l1) in zip(counts, table, strict=True):
+        tried = {}
+        for f in range(2):
+            for c in range(3):
+                left, right = node[f, : c + 1].sum(axis=0), node[f, c + 1 :].sum(axis=0)
+                if min(left.sum(), right.sum()) >= least:
+                    (p, w), (a, wa), (b, wb) = gini(left + right), gini(left), gini(right)
+                    tried[f, c] = p - wa / w * a - wb / w * b
+        assert gain == pytest.approx(max(tried.values())) and tried[int(j), int(cut)] == pytest.approx(gain)
+        assert [n0, n1] == node[0].sum(axis=0).tolist()
+        assert [l0, l1] == node[int(j), : int(cut) + 1].sum(axis=0).tolist()
+
+
+def test_large_forest_keeps_the_rules_and_learns(rows, monkeypatch, tmp_path):
+    monkeypatch.setattr(classifiers, "REMEMBERED_PAIRS", 400 * 40 - 1)
+    spread = rows.repartition(3, "TransactionID").persist()
+    whole = Forest(trees=40, max_depth=6).fit(spread)
+    # Several passes for a level find the same trees.
+    monkeypatch.setattr(large_forest, "HELD_COUNTS", 2000)
+    assert Forest(trees=40, max_depth=6).fit(spread).model.toDebugString.split("\n", 1)[1] == (
+        whole.model.toDebugString.split("\n", 1)[1]
+    )
+    whole.save(str(tmp_path / "m"))
+    data = rows.sparkSession.read.parquet(str(tmp_path / "m/data")).collect()
+    nodes = {(r["treeID"], r["nodeData"]["id"]): r["nodeData"] for r in data}
+    assert {t for t, _ in nodes} == set(range(40))
+    depth = {}
+    for (t, i), n in sorted(nodes.items()):
+        here = depth.setdefault((t, i), 0)
+        assert here <= 6 and n["rawCount"] >= 4
+        if n["leftChild"] >= 0:
+            a, b = nodes[t, n["leftChild"]], nodes[t, n["rightChild"]]
+            depth[t, n["leftChild"]] = depth[t, n["rightChild"]] = here + 1
+            assert a["rawCount"] + b["rawCount"] == n["rawCount"] and n["gain"] > 0
+            both = [x + y for x, y in zip(a["impurityStats"], b["impurityStats"])]
+            assert both == pytest.approx(n["impurityStats"])
+            assert not (a["leftChild"] < 0 and b["leftChild"] < 0 and a["prediction"] == b["prediction"])
+    # A bag has as many rows as the table, up to the draw; bags differ.
+    bags = [nodes[t, 0]["rawCount"] for t in range(40)]
+    assert abs(np.mean(bags) - 400) < 20 and len(set(bags)) > 10
+    scored = whole.score(rows)
+    assert ranking_metrics(scored, "isFraud", "p").first()["roc_auc"] > 0.9
+    plain = RandomForestClassifier(numTrees=40, maxDepth=6, minInstancesPerNode=4, weightCol="weight", seed=42)
+    weighted = with_weight(rows.selectExpr("*", "cast(isFraud as double) AS label"), "label", "balanced")
+    other = Forest(model=plain.fit(weighted)).score(rows)
+    both = scored.select("TransactionID", "p").join(other.selectExpr("TransactionID", "p AS q"), "TransactionID")
+    assert both.selectExpr("corr(p, q)").first()[0] > 0.97
+    with pytest.raises(ValueError):
+        Forest(trees=40).fit(rows.withColumn("isFraud", rows["isFraud"] + 1))
